@@ -48,3 +48,21 @@ def secret_scan_sql(scope: int = 200) -> str:
         "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, "
         "sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM docs LEFT JOIN per USING (rid)"
     )
+
+
+#: Every document position against every window, by the ten words joined.
+DECONTAMINATE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_WORDS.format("text")} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {SQL_WORDS.format("text")} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, array_to_string(w[s : s + 9], ' ') AS k, least(len(w), 10) AS n
+        FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT rid, s, n, array_to_string(w[s : s + n - 1], ' ') AS k
+        FROM (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, lens WHERE len(w) >= n)),
+hit AS (SELECT rid, s, pos.n AS n, item FROM pos JOIN win ON pos.k = win.k AND pos.n = win.n),
+cov AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+"""
