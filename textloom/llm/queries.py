@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, secret_scan, sql, token_count
+from textloom.llm import decontaminate, line_dedup, secret_scan, sql, token_count
 from textloom.llm.common import table
 
 
@@ -19,13 +19,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_decontaminate, op8_token_counts)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_decontaminate, op6_line_dedup, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": sql.secret_scan_sql(), "op3_decontaminate": sql.DECONTAMINATE}
+    return {"op2_secret_scan": sql.secret_scan_sql(), "op3_decontaminate": sql.DECONTAMINATE, "op6_line_dedup": sql.line_dedup_sql()}

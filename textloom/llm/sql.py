@@ -66,3 +66,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 """
+
+
+def line_dedup_sql(max_edits: int = 2, near_chars: int = 40) -> str:
+    """Every pair of near-equal length whose letter counts allow it, by full edit distance.
+
+    DuckDB's distance works on bytes, so the few non-ASCII letters become single bytes first;
+    lengths and counts only leave out pairs that cannot be within max_edits edits."""
+    letters = "éèêàâçñóíáúüäößÉÈÊÀÂÇÑÓÍÁÚÜÄÖ"
+    single = "".join(f"chr({k})" + " || " * (k < len(letters) + 1) for k in [*range(2, len(letters) + 2)])
+    counted = "etanorishl,. "
+    counts = ", ".join(f"len(t) - len(replace(t, '{c}', '')) AS c{k}" for k, c in enumerate(counted))
+    close = " + ".join(f"abs(a.c{k} - b.c{k})" for k in range(len(counted)))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT rid, doc_id, no - 1 AS no, line FROM (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM d) WHERE trim(line, ' ') <> ''),
+f AS (SELECT line, min(struct_pack(d := doc_id, n := no)) AS first FROM l GROUP BY line),
+t AS (SELECT line, first, length(line) AS n, translate(line, '{letters}', {single}) AS t FROM f WHERE length(line) >= {near_chars}),
+s AS (SELECT *, {counts} FROM t),
+near AS (SELECT DISTINCT a.line FROM s a JOIN s b ON b.n BETWEEN a.n - {max_edits} AND a.n + {max_edits} AND {close} <= {2 * max_edits} AND a.first > b.first
+         WHERE levenshtein(a.t, b.t) <= {max_edits}),
+lost AS (SELECT rid, l.no FROM l JOIN f USING (line) WHERE struct_pack(d := l.doc_id, n := l.no) <> f.first OR l.line IN (SELECT line FROM near)),
+per AS (SELECT rid, count(*) AS n_dropped, string_agg(no, ',' ORDER BY no) AS dropped FROM lost GROUP BY rid),
+n AS (SELECT rid, count(*) AS n_lines FROM l GROUP BY rid)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(dropped, '') AS dropped
+FROM d LEFT JOIN n USING (rid) LEFT JOIN per USING (rid)
+"""
