@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, line_dedup, secret_scan, sql, token_count
+from textloom.llm import decontaminate, license_scan, line_dedup, secret_scan, sql, token_count
 from textloom.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -28,8 +32,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_decontaminate, op6_line_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op6_line_dedup, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": sql.secret_scan_sql(), "op3_decontaminate": sql.DECONTAMINATE, "op6_line_dedup": sql.line_dedup_sql()}
+    return {"op1_license_scan": sql.license_scan_sql(license_scan.TEMPLATES, license_scan.PHRASES), "op2_secret_scan": sql.secret_scan_sql(), "op3_decontaminate": sql.DECONTAMINATE, "op6_line_dedup": sql.line_dedup_sql()}

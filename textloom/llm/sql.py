@@ -92,3 +92,31 @@ n AS (SELECT rid, count(*) AS n_lines FROM l GROUP BY rid)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(dropped, '') AS dropped
 FROM d LEFT JOIN n USING (rid) LEFT JOIN per USING (rid)
 """
+
+
+def license_scan_sql(templates: tuple[tuple[str, str], ...], phrases: dict[str, str], threshold: float = 0.9, block_words: int = 64) -> str:
+    """Every block against every template by plain counting of common words."""
+    half = block_words // 2
+    values = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(templates))
+    places = " UNION ALL ".join(
+        f"SELECT rid, '{label}' AS label, s - 1 AS place FROM p WHERE array_to_string(w[s : s + {len(phrase.split()) - 1}], ' ') = '{phrase}'" for phrase, label in phrases.items()
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, {SQL_WORDS.format("text")} AS w FROM documents),
+p AS (SELECT rid, w, unnest(generate_series(1, len(w))) AS s FROM d WHERE list_contains(w, 'license')),
+base AS ({places}),
+l AS (SELECT rid, no, {SQL_WORDS.format("line")} AS w FROM (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM d)),
+k AS (SELECT rid, no, 0 AS s, w FROM l WHERE len(w) <= {block_words} UNION ALL
+      SELECT rid, no, s, w[s + 1 : s + {block_words}] AS w FROM (SELECT rid, no, w, unnest(generate_series(0, len(w) - {block_words} + {half} - 1, {half})) AS s FROM l WHERE len(w) > {block_words})),
+t AS (SELECT t, label, list_distinct({SQL_WORDS.format("body")}) AS tw FROM (VALUES {values}) v(t, label, body)),
+tt AS (SELECT t, unnest(tw) AS word FROM t),
+kw AS (SELECT DISTINCT rid, no, s, unnest(w) AS word FROM k),
+m AS (SELECT rid, no, s, t, count(*) AS c FROM kw JOIN tt USING (word) GROUP BY ALL),
+hit AS (SELECT rid, no, s, label, c / len(tw) AS score FROM m JOIN t USING (t) WHERE c >= ceil({threshold} * len(tw) - 1e-9)),
+b AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY rid),
+a AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION ALL SELECT rid, label FROM hit) GROUP BY rid),
+h AS (SELECT rid, count(DISTINCT (no, s)) AS n_blocks, max(score) AS score FROM hit GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(n_blocks, 0)::BIGINT AS n_blocks, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(round(score, 6), 0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid) LEFT JOIN h USING (rid)
+"""
