@@ -34,6 +34,9 @@ ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1_500_000
 #: Learned languages at most.
 MAX_LANGUAGES = 500
+#: Nats per character above a language's own mean below which no text is rejected: passages in
+#: another language, keys or addresses inside a text raise its cross-entropy by less.
+MARGIN = 1.5
 CHUNK = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PAD, SPACE = 1, 32
@@ -179,7 +182,7 @@ class Recogniser(NamedTuple):
 
     def limits(self, n: np.ndarray, best: np.ndarray) -> np.ndarray:
         """The cross-entropy beyond which a text of n characters is rejected as language best."""
-        return self.mean[best] + np.maximum(self.reach[best] * self.spread[best] / np.sqrt(n), 0.6)
+        return self.mean[best] + np.maximum(self.reach[best] * self.spread[best] / np.sqrt(n), MARGIN)
 
 
 def train(sample: list[tuple[str, str]], order: int = ORDER) -> Recogniser:
