@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, language_id, license_scan, line_dedup, secret_scan, sql, token_count
+from textloom.llm import decontaminate, language_id, license_scan, line_dedup, near_dedup, secret_scan, sql, token_count
 from textloom.llm.common import table
 
 
@@ -31,12 +31,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_language_id, op6_line_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_language_id, op6_line_dedup, op7_near_dedup, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
