@@ -120,3 +120,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
        coalesce(labels, '') AS labels, coalesce(n_blocks, 0)::BIGINT AS n_blocks, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(round(score, 6), 0)::DOUBLE END AS score
 FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid) LEFT JOIN h USING (rid)
 """
+
+#: All pairs of a label by cosine, then reachability by repeated least labels.
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE label IS NOT NULL),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+r(a, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.a WHERE r.c < p.b),
+c AS (SELECT a, min(c) AS c FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c::BIGINT AS component_id, vec_id = c AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
