@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, secret_scan, sql, token_count
+from textloom.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, quote_links, secret_scan, sql, token_count
 from textloom.llm.common import table
 
 
@@ -39,13 +39,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.chat_digest(table(spark, sf_dir, "conversations"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_classes(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_language_id, op6_line_dedup, op7_near_dedup, op8_token_counts, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_language_id, op6_line_dedup, op7_near_dedup, op8_token_counts, op9_quote_links, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": sql.license_scan_sql(license_scan.TEMPLATES, license_scan.PHRASES), "op2_secret_scan": sql.secret_scan_sql(), "op3_decontaminate": sql.DECONTAMINATE, "op6_line_dedup": sql.line_dedup_sql(), "op10_embedding_dedup": sql.EMBEDDING_DEDUP}
+    return {"op1_license_scan": sql.license_scan_sql(license_scan.TEMPLATES, license_scan.PHRASES), "op2_secret_scan": sql.secret_scan_sql(), "op3_decontaminate": sql.DECONTAMINATE, "op6_line_dedup": sql.line_dedup_sql(), "op9_quote_links": sql.CHAT_QUOTES, "op10_embedding_dedup": sql.EMBEDDING_DEDUP}
