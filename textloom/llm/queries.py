@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, quote_links, secret_scan, sql, token_count
+from textloom.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, quote_links, secret_scan, sentencepiece_lattice, sql, token_count
 from textloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_ids(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encoding_summary(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_language_id, op6_line_dedup, op7_near_dedup, op8_token_counts, op9_quote_links, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_language_id, op5_sentencepiece, op6_line_dedup, op7_near_dedup, op8_token_counts, op9_quote_links, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
