@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +25,25 @@ def local_session(app: str = "textloom", cpus: int | None = None, memory: str =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application; Python functions then load anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp()
+    path = os.path.join(folder, f"{os.path.basename(root)}_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    _shipped.add(app)
