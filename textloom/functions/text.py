@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -120,9 +120,16 @@ def clean_characters(col: Column) -> Column:
     return join_hyphenated(strip_controls(map_punctuation(col)))
 
 
-def normalise_text(col: Column, with_nfkc: bool = True) -> Column:
-    """A cleaned text: one stripped line per line, furniture and fillers gone."""
-    return F.array_join(kept_lines(lines_of(clean_characters(nfkc(col) if with_nfkc else col))), "\n")
+def normalise_text(col: Column) -> Column:
+    """A cleaned text: one stripped line per line, furniture and fillers gone. NFKC is a step before it."""
+    return F.array_join(kept_lines(lines_of(clean_characters(col))), "\n")
+
+
+def normalise_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows with their text cleaned, NFKC included.
+
+    NFKC runs in Python, so it is a projection of its own; the rest stays in the JVM."""
+    return df.withColumn(text_col, nfkc(F.col(text_col))).withColumn(text_col, normalise_text(F.col(text_col)))
 
 
 def token_count(col: Column) -> Column:

@@ -178,7 +178,7 @@ norm AS (SELECT d.doc_id, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS
 
 @query(f"WITH {SQL_CLEAN.strip()} SELECT doc_id, sha256(text) AS text_sha256, length(text)::BIGINT AS n_chars FROM norm")
 def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = table(spark, sf_dir, "documents").select("doc_id", t.normalise_text(F.col("text"), with_nfkc=False).alias("text"))
+    cleaned = table(spark, sf_dir, "documents").select("doc_id", t.normalise_text(F.col("text")).alias("text"))
     return cleaned.select("doc_id", t.content_key(F.col("text")).alias("text_sha256"), F.length("text").cast("bigint").alias("n_chars"))
 
 

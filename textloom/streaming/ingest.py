@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from textloom.functions.text import content_key, normalise_text
+from textloom.functions.text import content_key, normalise_documents
 
 
 def new_documents(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 64) -> DataFrame:
@@ -25,5 +25,5 @@ def distinct_documents(stream: DataFrame, text_col: str = "text", time_col: str
 
 def ingest(stream: DataFrame, out: str, checkpoint: str, text_col: str = "text") -> StreamingQuery:
     """Cleans what arrives and appends it to a table; stops when the input is used up."""
-    cleaned = stream.withColumn(text_col, normalise_text(F.col(text_col)))
+    cleaned = normalise_documents(stream, text_col)
     return cleaned.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
