@@ -30,7 +30,9 @@ from textloom.llm.common import stored
 MAX_EDITS = 2
 NEAR_CHARS = 40
 #: Characters whose counts two near lines must nearly share; any would do, frequent ones reject most.
-COUNTED = (" ", "e", "n", "t", "a", "i", "o", "r")
+COUNTED = (" ", "e", "n", "a")
+#: Added to the counts of a key for the line's own length.
+SAME = 1 << 40
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,92 +45,71 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment i of a line: even parts, the longer ones last."""
-    size = F.floor(length / parts).cast("int")
-    longer = length - size * parts
-    before = F.greatest(F.lit(i) - (parts - longer), F.lit(0))
-    return size * i + before, size + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
+def _segment_key(line: Column, length: Column, i: Column, shift: Column, parts: int) -> Column:
+    """Key of the substring at segment i's place, moved by shift, for segments of a line of that length.
 
+    Segments are even, the longer ones last. Places outside the line give shorter substrings,
+    which match nothing by mistake: candidates are verified."""
+    size = F.call_function("div", length, F.lit(parts)).cast("int")
+    whole = parts - length % parts
+    start = size * i + F.greatest(i - whole, F.lit(0))
+    return F.xxhash64(length, i, F.substring(line, start + shift + 1, size + (i >= whole).cast("int")))
 
-def _index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    parts = edits + 1
-    keys = []
-    for i in range(parts):
-        start, size = _segment(length, i, parts)
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size)))
-    return keys
 
-
-def _probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys of the substrings that can equal a segment of a line shorter by 0..edits.
+def _probes(edits: int) -> list[tuple[int, int, int]]:
+    """(shorter, i, shift) of the substrings that can equal a segment of a line shorter by 0..edits.
 
     Of an alignment within the budget, let segment i be the first one free of edits to its
     left beyond i: then at most i edits lie before it and at most edits - i after, which
     bounds how far it is shifted from either end (the multi-match-aware selection)."""
-    parts = edits + 1
-    keys = []
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for i in range(parts):
-            start, size = _segment(other, i, parts)
-            lowest = max(-i, shorter - (edits - i))
-            highest = min(i, shorter + (edits - i))
-            for shift in range(lowest, highest + 1):
-                at = start + shift
-                keys.append(F.when((at >= 0) & (at + size <= length), F.xxhash64(other, F.lit(i), F.substring(line, at + 1, size))))
-    return keys
+    return [
+        (shorter, i, shift)
+        for shorter in range(edits + 1)
+        for i in range(edits + 1)
+        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
+    ]
+
+
+def _keys(lines: DataFrame, probes: list[tuple[int, int, int]], parts: int) -> DataFrame:
+    """(key, l1, counts, shorter) of each line at each of the probes, one small expression per row."""
+    at = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("shorter", "i", "shift"), p, strict=True))) for p in probes))).alias("p")
+    spread = lines.select("l1", "counts", "line", "len", at).select("l1", "counts", "line", (F.col("len") - F.col("p.shorter")).alias("len_"), "p.shorter", "p.i", "p.shift")
+    return spread.select(_segment_key(F.col("line"), F.col("len_"), F.col("i"), F.col("shift"), parts).alias("key"), "l1", "counts", "shorter")
 
 
 def near_links(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """Pairs (a1, a2, b1, b2) of different lines within max_edits edits; lines: (l1, l2, line)."""
-    length = F.length("line")
-    counts = [F.least(length - F.length(F.replace("line", F.lit(c), F.lit(""))), F.lit(127)).cast("tinyint").alias(f"c{k}") for k, c in enumerate(COUNTED)]
-    base = lines.select("l1", "l2", "line", length.cast("int").alias("len"), *counts)
-    carried = ["l1", "l2", "len", *(f"c{k}" for k in range(len(COUNTED)))]
-
-    def side(name: str, keys: list[Column]) -> DataFrame:
-        out = base.select(*carried, F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
-        return out.select("key", *(F.col(c).alias(f"{name}_{c}") for c in carried))
-
-    gap = sum((F.abs(F.col(f"a_c{k}").cast("int") - F.col(f"b_c{k}").cast("int")) for k in range(len(COUNTED))), F.lit(0))
-    pairs = (
-        side("a", _probe_keys(F.col("line"), F.col("len"), max_edits))
-        .join(
-            side("b", _index_keys(F.col("line"), F.col("len"), max_edits)).withColumnRenamed("key", "b_key"),
-            (F.col("key") == F.col("b_key"))
-            & (F.col("a_len") >= F.col("b_len"))
-            & ((F.col("a_len") > F.col("b_len")) | (F.struct("a_l1", "a_l2") > F.struct("b_l1", "b_l2")))
-            & (gap <= 2 * max_edits),
-        )
-        .select(F.col("a_l1").alias("a1"), F.col("a_l2").alias("a2"), F.col("b_l1").alias("b1"), F.col("b_l2").alias("b2"))
-        .distinct()
-    )
-    a = lines.select(F.col("l1").alias("a1"), F.col("l2").alias("a2"), F.col("line").alias("a_line"))
-    b = lines.select(F.col("l1").alias("b1"), F.col("l2").alias("b2"), F.col("line").alias("b_line"))
-    return (
-        pairs.join(a, ["a1", "a2"])
-        .join(b, ["b1", "b2"])
-        .where(F.levenshtein("a_line", "b_line", max_edits) >= 0)
-        .select("a1", "a2", "b1", "b2")
-    )
+    """Pairs (a1, a2, fa, b1, b2, fb) of different lines within max_edits edits, with their first places.
+
+    lines: (l1, l2, first, line, len, counts). Key rows carry a 64-bit line hash only; the
+    texts joined by it and the edit distance settle what it means."""
+    parts = max_edits + 1
+    a = _keys(lines, _probes(max_edits), parts).select("key", F.col("l1").alias("a1"), F.when(F.col("shorter") == 0, F.col("counts") + SAME).otherwise(F.col("counts")).alias("a_counts"))
+    b = _keys(lines, [(0, i, 0) for i in range(parts)], parts).select("key", F.col("l1").alias("b1"), F.col("counts").alias("b_counts"))
+    byte = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(255)
+    gap = sum((F.abs(byte("a_counts", k) - byte("b_counts", k)) for k in range(len(COUNTED))), F.lit(0))
+    once = F.when(F.col("a_counts") >= SAME, F.col("a1") > F.col("b1")).otherwise(F.col("a1") != F.col("b1"))
+    pairs = stored(a.join(b, "key").where(once & (gap <= 2 * max_edits)).select("a1", "b1").distinct(), "candidates")
+    of = lambda x: lines.select(F.col("l1").alias(f"{x}1"), F.col("l2").alias(f"{x}2"), F.col("first").alias(f"f{x}"), F.col("line").alias(f"line_{x}"))
+    return pairs.join(of("a"), "a1").join(of("b"), "b1").where(F.levenshtein("line_a", "line_b", max_edits) >= 0).select("a1", "a2", "fa", "b1", "b2", "fb")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """One row per document that loses lines: (id, h, dropped), dropped being sorted line numbers from 0."""
     occurring = _lines(docs, id_col, text_col)
     place = F.struct("id", "h", "no")
+    counts = sum((F.shiftleft(F.least(F.col("len") - F.length(F.replace("line", F.lit(c), F.lit(""))), F.lit(127)).cast("bigint"), 8 * k) for k, c in enumerate(COUNTED)), F.lit(0).cast("bigint"))
     distinct = stored(
-        occurring.groupBy("l1", "l2").agg(F.min(place).alias("first"), F.max(F.when(F.length("line") >= near_chars, F.col("line"))).alias("line")),
+        occurring.groupBy("l1", "l2")
+        .agg(F.min(place).alias("first"), F.max(F.when(F.length("line") >= near_chars, F.col("line"))).alias("line"))
+        .withColumn("len", F.length("line"))
+        .withColumn("counts", F.when(F.col("line").isNotNull(), counts)),
         "lines",
     )
     firsts = distinct.select("l1", "l2", "first")
-    links = near_links(distinct.where(F.col("line").isNotNull()).select("l1", "l2", "line"), max_edits)
+    late_a = F.col("fa") > F.col("fb")
     later = (
-        links.join(firsts.select(F.col("l1").alias("a1"), F.col("l2").alias("a2"), F.col("first").alias("fa")), ["a1", "a2"])
-        .join(firsts.select(F.col("l1").alias("b1"), F.col("l2").alias("b2"), F.col("first").alias("fb")), ["b1", "b2"])
-        .select(F.when(F.col("fa") > F.col("fb"), F.struct(F.col("a1").alias("l1"), F.col("a2").alias("l2"))).otherwise(F.struct(F.col("b1").alias("l1"), F.col("b2").alias("l2"))).alias("late"))
-        .select("late.l1", "late.l2")
+        near_links(distinct.where(F.col("line").isNotNull()), max_edits)
+        .select(F.when(late_a, F.col("a1")).otherwise(F.col("b1")).alias("l1"), F.when(late_a, F.col("a2")).otherwise(F.col("b2")).alias("l2"))
         .distinct()
         .withColumn("near", F.lit(True))
     )
@@ -163,10 +144,10 @@ def line_digest(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """The documents with their dropped lines gone; one that loses every non-blank line goes too."""
-    lost = dropped_lines(docs, id_col, text_col, max_edits, near_chars).select(F.col("id").alias("lost_id"), F.col("h").alias("lost_h"), "dropped")
-    joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col("lost_id")) & (F.xxhash64(text_col) == F.col("lost_h")), "left")
+    lost = dropped_lines(docs, id_col, text_col, max_edits, near_chars).select(F.col("id").alias("__lost_id"), F.col("h").alias("__lost_h"), F.col("__dropped").alias("__dropped"))
+    joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col("__lost_id")) & (F.xxhash64(text_col) == F.col("__lost_h")), "left")
     parts = F.split(text_col, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__dropped"))
     rebuilt = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
-    text = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(rebuilt)
-    return joined.withColumn(text_col, text).where(F.col("dropped").isNull() | (F.trim(F.regexp_replace(text_col, "\\n", "")) != "")).select(*docs.columns)
+    text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(rebuilt)
+    return joined.withColumn(text_col, text).where(F.col("__dropped").isNull() | (F.trim(F.regexp_replace(text_col, "\\n", "")) != "")).select(*docs.columns)
