@@ -131,5 +131,5 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents, unchanged, in which no window occurs."""
-    hit = occurrences(docs, benchmark, id_col, text_col, window).select(F.col("id").alias("hit_id"), F.col("h").alias("hit_h")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("hit_id")) & (F.xxhash64(text_col) == F.col("hit_h")), "left_anti")
+    hit = occurrences(docs, benchmark, id_col, text_col, window).select(F.col("id").alias("__hit_id"), F.col("h").alias("__hit_h")).distinct()
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_col) == F.col("__hit_h")), "left_anti")
