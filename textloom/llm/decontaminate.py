@@ -61,32 +61,34 @@ def _anchored(docs: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
     return windows.join(best, "w_words").select("wid", "w_words", "items", F.col("best.term").alias("term"), F.col("best.off").alias("off"))
 
 
-def _postings(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str, slack: int) -> DataFrame:
+def _postings(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str, slack: int | None) -> DataFrame:
     """Postings of the anchors' terms, each beside the window it may belong to.
 
-    around: the words from `slack` before the window's assumed start to `slack` after its end."""
+    around: without slack the words where the window would stand, with slack those that are
+    less than the window's length and slack words away from its rarest word."""
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), words_column(F.col(text_col)).alias("words"))
     places = words.select("id", "h", "words", F.posexplode("words").alias("pos", "term"))
-    first = F.col("pos") - F.col("off") - slack
-    return (
-        places.join(F.broadcast(anchors), "term")
-        .withColumn("start", F.col("pos") - F.col("off"))
-        .withColumn("around", F.slice("words", F.greatest(first, F.lit(0)) + 1, F.size("w_words") + 2 * slack + F.least(first, F.lit(0))))
-        .select("id", "h", "start", "wid", "w_words", "items", "around")
-    )
+    n = F.size("w_words")
+    start = F.col("pos") - F.col("off")
+    if slack is None:
+        around = F.slice("words", F.greatest(start, F.lit(0)) + 1, n)
+    else:
+        reach = n - 1 + slack
+        around = F.slice("words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, reach + F.least(F.col("pos"), reach) + 1)
+    return places.join(F.broadcast(anchors), "term").select("id", "h", start.alias("start"), "wid", "w_words", "items", around.alias("around"))
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slack: int | None = None) -> DataFrame:
     """Places (id, h, start, n, items) where windows occur; h is the text's hash.
 
-    slack None: exact phrases. slack k: all words of the window, in any order, within its
-    length and k words more on either side of where its rarest word puts it."""
+    slack None: exact phrases. slack k: proximity, all words of the window in any order, each
+    at most its length - 1 + k words from its rarest one; start is then where that one puts it."""
     windows = windows_of(benchmark, text_col="text", window=window)
     slices = max(1, -(-windows.count() // MAX_WINDOWS))
     found = []
     for k in range(slices):
         part = windows if slices == 1 else windows.where(F.pmod(F.col("wid"), F.lit(slices)) == k)
-        posted = _postings(docs, _anchored(docs, part, text_col), id_col, text_col, slack or 0)
+        posted = _postings(docs, _anchored(docs, part, text_col), id_col, text_col, slack)
         if slack is None:
             kept = posted.where((F.col("start") >= 0) & (F.col("around") == F.col("w_words")))
         else:
