@@ -30,9 +30,9 @@ from textloom.llm.common import stored
 MAX_EDITS = 2
 NEAR_CHARS = 40
 #: Characters whose counts two near lines must nearly share; any would do, frequent ones reject most.
-COUNTED = (" ", "e", "n", "a")
-#: Added to the counts of a key for the line's own length.
-SAME = 1 << 40
+COUNTED = ("e", "n", "t", "a", "i", "o", "r")
+#: Where a probe's key keeps, above the counts, how much shorter the line it looks for is.
+SHORTER_BITS = 56
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -83,12 +83,14 @@ def near_links(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     lines: (l1, l2, first, line, len, counts). Key rows carry a 64-bit line hash only; the
     texts joined by it and the edit distance settle what it means."""
     parts = max_edits + 1
-    a = _keys(lines, _probes(max_edits), parts).select("key", F.col("l1").alias("a1"), F.when(F.col("shorter") == 0, F.col("counts") + SAME).otherwise(F.col("counts")).alias("a_counts"))
+    a = _keys(lines, _probes(max_edits), parts).select("key", F.col("l1").alias("a1"), (F.col("counts") + F.shiftleft(F.col("shorter").cast("bigint"), SHORTER_BITS)).alias("a_counts"))
     b = _keys(lines, [(0, i, 0) for i in range(parts)], parts).select("key", F.col("l1").alias("b1"), F.col("counts").alias("b_counts"))
     byte = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(255)
     gap = sum((F.abs(byte("a_counts", k) - byte("b_counts", k)) for k in range(len(COUNTED))), F.lit(0))
-    once = F.when(F.col("a_counts") >= SAME, F.col("a1") > F.col("b1")).otherwise(F.col("a1") != F.col("b1"))
-    pairs = stored(a.join(b, "key").where(once & (gap <= 2 * max_edits)).select("a1", "b1").distinct(), "candidates")
+    shorter = F.shiftright("a_counts", SHORTER_BITS)
+    once = F.when(shorter == 0, F.col("a1") > F.col("b1")).otherwise(F.col("a1") != F.col("b1"))
+    # a substitution changes two counts by one, an insertion or deletion one count and the length
+    pairs = stored(a.join(b, "key").where(once & (gap <= 2 * max_edits - shorter)).select("a1", "b1").distinct(), "candidates")
     of = lambda x: lines.select(F.col("l1").alias(f"{x}1"), F.col("l2").alias(f"{x}2"), F.col("first").alias(f"f{x}"), F.col("line").alias(f"line_{x}"))
     return pairs.join(of("a"), "a1").join(of("b"), "b1").where(F.levenshtein("line_a", "line_b", max_edits) >= 0).select("a1", "a2", "fa", "b1", "b2", "fb")
 
@@ -97,7 +99,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document that loses lines: (id, h, dropped), dropped being sorted line numbers from 0."""
     occurring = _lines(docs, id_col, text_col)
     place = F.struct("id", "h", "no")
-    counts = sum((F.shiftleft(F.least(F.col("len") - F.length(F.replace("line", F.lit(c), F.lit(""))), F.lit(127)).cast("bigint"), 8 * k) for k, c in enumerate(COUNTED)), F.lit(0).cast("bigint"))
+    counts = sum((F.shiftleft(F.least(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit(""))), F.lit(127)).cast("bigint"), 8 * k) for k, c in enumerate(COUNTED)), F.lit(0).cast("bigint"))
     distinct = stored(
         occurring.groupBy("l1", "l2")
         .agg(F.min(place).alias("first"), F.max(F.when(F.length("line") >= near_chars, F.col("line"))).alias("line"))
@@ -144,7 +146,7 @@ def line_digest(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """The documents with their dropped lines gone; one that loses every non-blank line goes too."""
-    lost = dropped_lines(docs, id_col, text_col, max_edits, near_chars).select(F.col("id").alias("__lost_id"), F.col("h").alias("__lost_h"), F.col("__dropped").alias("__dropped"))
+    lost = dropped_lines(docs, id_col, text_col, max_edits, near_chars).select(F.col("id").alias("__lost_id"), F.col("h").alias("__lost_h"), F.col("dropped").alias("__dropped"))
     joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col("__lost_id")) & (F.xxhash64(text_col) == F.col("__lost_h")), "left")
     parts = F.split(text_col, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__dropped"))
