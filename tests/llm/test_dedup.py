@@ -87,6 +87,40 @@ def test_line_dedup_against_brute_force(spark, edits):
     assert {r.doc_id: r.dropped for r in out if r.dropped} == brute_lines(list(enumerate(texts)), edits, 12)
 
 
+def brute_word_lines(rows):
+    places = sorted((i, n, line) for i, t in rows for n, line in enumerate(t.split("\n")) if line.strip(" "))
+    dropped = {}
+    for k, (i, n, line) in enumerate(places):
+        for _, _, x in places[:k]:
+            a, b = line.split(), x.split()
+            shorter = min(len(line), len(x))
+            if line == x or distance(line, x) <= (2 if shorter >= 40 else 1 if shorter >= 20 else 0) or distance(a, b) <= max(len(a), len(b)) // 10:
+                dropped.setdefault(i, []).append(n)
+                break
+    return dropped
+
+
+def test_line_dedup_budget_grows_with_the_line(spark):
+    rng = random.Random(11)
+    bases = [[rng.choice(WORDS[:60]) * rng.randint(1, 3) for _ in range(n)] for n in (5, 9, 10, 11, 19, 20, 33, 40, 75)]
+
+    def edited(words):
+        words = list(words)
+        for _ in range(rng.randint(0, len(words) // 10 + 2)):
+            at = rng.randrange(len(words))
+            kind = rng.randrange(3)
+            words[at : at + (kind < 2)] = [] if kind == 1 else [rng.choice(WORDS)]
+        return " ".join(words)
+
+    texts = ["\n".join(edited(rng.choice(bases)) for _ in range(4)) for _ in range(40)]
+    texts += ["the extraordinarily long committee sat on the matter all day", "the long committee sat on the matter all day", "one short line of text here", "one short lane of text here"]
+    rows = list(enumerate(texts))
+    wanted = brute_word_lines(rows)
+    assert wanted != brute_lines(rows, 2, 40) and wanted[41] and wanted[43]
+    out = line_dedup.line_verdicts(docs(spark, texts)).collect()
+    assert {r.doc_id: r.dropped for r in out if r.dropped} == wanted
+
+
 def test_dedup_lines_rebuilds_texts(spark):
     rows = ["keep me here\nand me too\n\nlast", "and me too\nnew line\n", "and me too", "one\none\ntwo"]
     out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}

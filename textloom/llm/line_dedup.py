@@ -1,16 +1,25 @@
 """Line dedup by a segment-partition edit join.
 
-A line is dropped when an earlier line (by document id, then line number) is equal to it or,
-for lines of at least `near_chars` characters, lies within `max_edits` edits of it. Earlier
+A line is dropped when an earlier line (by document id, then line number) is equal to it or
+near it. Near are: two lines of at least `near_chars` characters within `max_edits` edits; two
+of at least `short_chars` within one; and, of any length, two lines that differ in at most one
+word in every `words_an_edit` of the longer one (changed, dropped or added words). Earlier
 lines count whether or not they are dropped themselves, so the rule needs no closure.
 
-Near lines are found among distinct lines only. A line of length n is cut into max_edits + 1
+Near lines are found among distinct lines only. For edits of characters, a line of length n is cut into max_edits + 1
 segments; two lines within max_edits edits share a segment at nearly the same place, so each
 line probes, for its own length and each slightly shorter one, the index of segments by
 (length, segment number, content) with the few substrings that the pigeonhole leaves
 possible. Character counts carried beside each key reject most false candidates inside the
 join; the rest are verified by Spark's banded, threshold-bounded edit distance.
 
+For edits of words, the budget leaves the two lines a common run of words, moved by no more
+words than the budget, and so the least hash of a few consecutive words among those of that
+run: every line is keyed by these minima. Lines are compared with the earliest line of each key first; only what that
+does not settle is paired with the other lines of its keys, so a large group of near copies
+costs its size, not its square. The edit distance of words is that of strings in which each
+word of the pair is one character.
+
 Scale: equal lines meet only as (hash, first place) partial aggregates, so a line that a
 third of all documents share is one row; texts of distinct lines are written once and
 fetched again only for candidates; skewed keys are left to adaptive skew joins.
@@ -22,13 +31,21 @@ same result; a null id sorts before all others; other input columns pass through
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import stored
 
 MAX_EDITS = 2
 NEAR_CHARS = 40
+#: From this length on a line may differ by one edit.
+SHORT_CHARS = 20
+#: One edited word is allowed for every so many words of the longer line; from 10 on CLASSES is safe.
+WORDS_AN_EDIT = 10
+#: (least words, run, gram): n words with n // 10 edits leave a common run of ceil((n - n // 10) / (n // 10 + 1))
+#: words, which is at least `run` from `least words` of the longer line on; keys are made of `gram` words.
+CLASSES = ((10, 5, 4), (20, 6, 4), (40, 8, 6))
+POS_BITS = 20
 #: Characters whose counts two near lines must nearly share; any would do, frequent ones reject most.
 COUNTED = ("e", "n", "t", "a", "i", "o", "r")
 #: Where a probe's key keeps, above the counts, how much shorter the line it looks for is.
@@ -77,9 +94,10 @@ def _keys(lines: DataFrame, probes: list[tuple[int, int, int]], parts: int) -> D
     return spread.select(_segment_key(F.col("line"), F.col("len_"), F.col("i"), F.col("shift"), parts).alias("key"), "l1", "counts", "shorter")
 
 
-def near_links(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+def near_links(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int = 0) -> DataFrame:
     """Pairs (a1, a2, fa, b1, b2, fb) of different lines within max_edits edits, with their first places.
 
+    Where one of the lines is shorter than near_chars, they lie within one edit.
     lines: (l1, l2, first, line, len, counts). Key rows carry a 64-bit line hash only; the
     texts joined by it and the edit distance settle what it means."""
     parts = max_edits + 1
@@ -92,17 +110,87 @@ def near_links(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     # a substitution changes two counts by one, an insertion or deletion one count and the length
     pairs = stored(a.join(b, "key").where(once & (gap <= 2 * max_edits - shorter)).select("a1", "b1").distinct(), "candidates")
     of = lambda x: lines.select(F.col("l1").alias(f"{x}1"), F.col("l2").alias(f"{x}2"), F.col("first").alias(f"f{x}"), F.col("line").alias(f"line_{x}"))
-    return pairs.join(of("a"), "a1").join(of("b"), "b1").where(F.levenshtein("line_a", "line_b", max_edits) >= 0).select("a1", "a2", "fa", "b1", "b2", "fb")
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
+    distance = F.levenshtein("line_a", "line_b", max_edits)
+    short = F.least(F.length("line_a"), F.length("line_b")) < near_chars
+    return pairs.join(of("a"), "a1").join(of("b"), "b1").where((distance >= 0) & (~short | (distance <= 1))).select("a1", "a2", "fa", "b1", "b2", "fb")
+
+
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _word_keys(line: Column) -> Column:
+    """The least hash of consecutive words in every run, by the classes the line's length falls in.
+
+    The lowest POS_BITS bits of a hash are the place of its first word, modulo what they hold."""
+    starts = lambda x, n: F.sequence(F.lit(0), F.size(x) - n)
+
+    def minima(h: Column, seed: int, run: int, gram: int) -> Column:
+        span = run - gram + 1
+        high = lambda x: F.shiftleft(F.shiftright(x, POS_BITS), POS_BITS)
+        grams = F.transform(starts(h, gram), lambda i: high(F.xxhash64(F.lit(seed), *(F.get(h, i + k) for k in range(gram)))) + i.bitwiseAND((1 << POS_BITS) - 1))
+        # a one-element array binds what is computed once
+        return F.flatten(F.transform(F.array(grams), lambda g: F.array_distinct(F.transform(starts(g, span), lambda i: F.least(*(F.get(g, i + k) for k in range(span)))))))
+
+    def of_class(h: Column, c: int) -> Column:
+        least, run, gram = CLASSES[c]
+        # the shorter of two lines may lie below the class by the budget of its least length
+        within = F.size(h) >= least - least // 10
+        if c + 1 < len(CLASSES):
+            within = within & (F.size(h) < CLASSES[c + 1][0])
+        return F.when(within, minima(h, c, run, gram)).otherwise(F.array().cast("array<bigint>"))
+
+    hashes = F.array(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    return F.flatten(F.transform(hashes, lambda h: F.concat(*(of_class(h, c) for c in range(len(CLASSES))))))
+
+
+def _within_words(a: Column, b: Column, words_an_edit: int) -> Column:
+    """Whether the word arrays lie within their budget of word edits, each word of the two as one character."""
+    budget = F.call_function("div", F.greatest(F.size(a), F.size(b)), F.lit(words_an_edit)).cast("int")
+    known = F.array_distinct(F.concat(a, b))
+    coded = lambda x, d: F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(F.array_position(d, w) + 0x10000), 8, "0")), "")), "UTF-32")
+    distance = F.get(F.transform(F.array(known), lambda d: F.call_function("levenshtein", coded(a, d), coded(b, d))), F.lit(0))
+    return (F.size(F.array_except(a, b)) <= budget) & (F.size(F.array_except(b, a)) <= budget) & (distance <= budget)
+
+
+def word_near(lines: DataFrame, words_an_edit: int = WORDS_AN_EDIT) -> DataFrame:
+    """(l1, l2) of the lines that lie within the budget of word edits of a line with an earlier first place.
+
+    lines: (l1, l2, first, line)."""
+    if words_an_edit < WORDS_AN_EDIT:
+        raise ValueError("more than one edited word in ten does not leave the runs of CLASSES")
+    n = F.size(_words(F.col("line"))).alias("n")
+    places = 1 << POS_BITS
+    keyed = lines.select("l1", n, F.explode(_word_keys(F.col("line"))).alias("k")).select("l1", "n", F.shiftright("k", POS_BITS).alias("key"), F.col("k").bitwiseAND(places - 1).cast("int").alias("pos"))
+    shared = stored(keyed.withColumn("held", F.count("*").over(Window.partitionBy("key"))).where("held > 1").drop("held"), "word_keys")
+    texts = stored(lines.join(shared.select("l1").distinct(), "l1", "left_semi").select("l1", "l2", "first", "line"), "word_lines")
+    placed = shared.join(texts.select("l1", "first"), "l1")
+    budget = F.call_function("div", F.greatest("n", "m"), F.lit(words_an_edit))
+    moved = F.abs(F.col("pos") - F.col("at"))
+    fits = (F.col("l1") != F.col("e1")) & (F.abs(F.col("n") - F.col("m")) <= budget) & (F.least(moved, places - moved) <= budget)
+
+    def later(pairs: DataFrame, name: str) -> DataFrame:
+        found = stored(pairs.where(fits).select("l1", "e1").distinct(), name)
+        early = texts.select(F.col("l1").alias("e1"), F.col("first").alias("before"), F.col("line").alias("other"))
+        near = _within_words(_words(F.col("line")), _words(F.col("other")), words_an_edit)
+        return stored(found.join(texts, "l1").join(early, "e1").where((F.col("first") > F.col("before")) & near).select("l1", "l2").distinct(), name)
+
+    heads = placed.groupBy("key").agg(F.min(F.struct("first", "l1", "n", "pos")).alias("head")).select("key", F.col("head.l1").alias("e1"), F.col("head.n").alias("m"), F.col("head.pos").alias("at"))
+    settled = later(placed.join(heads, "key"), "word_heads")
+    earlier = placed.select("key", F.col("l1").alias("e1"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("first").alias("before"))
+    rest = placed.join(settled.select("l1").distinct(), "l1", "left_anti")
+    return settled.union(later(rest.join(earlier, "key").where("first > before"), "word_rest")).distinct()
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS, short_chars: int = SHORT_CHARS, words_an_edit: int = WORDS_AN_EDIT) -> DataFrame:
     """One row per document that loses lines: (id, h, dropped), dropped being sorted line numbers from 0."""
     occurring = _lines(docs, id_col, text_col)
     place = F.struct("id", "h", "no")
+    compared = min(near_chars, short_chars)
     counts = sum((F.shiftleft(F.least(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit(""))), F.lit(127)).cast("bigint"), 8 * k) for k, c in enumerate(COUNTED)), F.lit(0).cast("bigint"))
     distinct = stored(
         occurring.groupBy("l1", "l2")
-        .agg(F.min(place).alias("first"), F.max(F.when(F.length("line") >= near_chars, F.col("line"))).alias("line"))
+        .agg(F.min(place).alias("first"), F.max(F.when(F.length("line") >= min(compared, 2 * words_an_edit - 3), F.col("line"))).alias("line"))
         .withColumn("len", F.length("line"))
         .withColumn("counts", F.when(F.col("line").isNotNull(), counts)),
         "lines",
@@ -110,8 +198,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = distinct.select("l1", "l2", "first")
     late_a = F.col("fa") > F.col("fb")
     later = (
-        near_links(distinct.where(F.col("line").isNotNull()), max_edits)
+        near_links(distinct.where(F.col("len") >= compared), max_edits, near_chars)
         .select(F.when(late_a, F.col("a1")).otherwise(F.col("b1")).alias("l1"), F.when(late_a, F.col("a2")).otherwise(F.col("b2")).alias("l2"))
+        .union(word_near(distinct.where(F.col("line").isNotNull()), words_an_edit))
         .distinct()
         .withColumn("near", F.lit(True))
     )
@@ -125,9 +214,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS, short_chars: int = SHORT_CHARS, words_an_edit: int = WORDS_AN_EDIT) -> DataFrame:
     """One row per document: (id, n_lines, n_dropped, dropped); n_lines counts non-blank lines."""
-    lost = dropped_lines(docs, id_col, text_col, max_edits, near_chars).select(F.col("id").alias("lost_id"), F.col("h").alias("lost_h"), "dropped")
+    lost = dropped_lines(docs, id_col, text_col, max_edits, near_chars, short_chars, words_an_edit).select(F.col("id").alias("lost_id"), F.col("h").alias("lost_h"), "dropped")
     parts = F.split(F.coalesce(text_col, F.lit("")), "\n")
     # lines of spaces only are blank: what is left of the text when they go is counted
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.size(F.filter(parts, lambda x: F.trim(x) != "")).cast("bigint").alias("n_lines"))
@@ -144,9 +233,9 @@ def line_digest(docs: DataFrame) -> DataFrame:
     return line_verdicts(docs).select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS, short_chars: int = SHORT_CHARS, words_an_edit: int = WORDS_AN_EDIT) -> DataFrame:
     """The documents with their dropped lines gone; one that loses every non-blank line goes too."""
-    lost = dropped_lines(docs, id_col, text_col, max_edits, near_chars).select(F.col("id").alias("__lost_id"), F.col("h").alias("__lost_h"), F.col("dropped").alias("__dropped"))
+    lost = dropped_lines(docs, id_col, text_col, max_edits, near_chars, short_chars, words_an_edit).select(F.col("id").alias("__lost_id"), F.col("h").alias("__lost_h"), F.col("dropped").alias("__dropped"))
     joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col("__lost_id")) & (F.xxhash64(text_col) == F.col("__lost_h")), "left")
     parts = F.split(text_col, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__dropped"))
