@@ -150,6 +150,26 @@ def test_quotes_are_linked_and_removed(spark):
     assert [p.reply_order for p in parts] == ["0,1", "2,3", "4"]
 
 
+def test_partial_and_short_quotes_are_linked(spark):
+    rows = [
+        (1, 0, "user", "Sounds good"),
+        (1, 1, "user", "First we met. Then Dr. Who left the room! (Nobody knew why.) It rained."),
+        (1, 2, "user", "line one here\nline two here\nline three here"),
+        (1, 3, "user", "Paragraph one is\nwrapped.\n\nParagraph two.\n\nParagraph three."),
+        (1, 4, "user", "that sounds good to me"),
+        (1, 5, "user", "> Sounds good\nYes."),
+        (1, 6, "user", "> Nobody knew\n> why.\nYes."),
+        (1, 7, "user", "> line two here\n> line three here\nYes."),
+        (1, 8, "user", "> Paragraph one is wrapped.\n>\n> Paragraph two.\nYes."),
+        (1, 9, "user", "> Then Dr. Who left the room! (Nobody knew why.)\nYes."),
+        (1, 10, "user", "> It rained\n\n> line one\nYes."),
+        (1, 11, "user", ">\nYes."),
+        (2, 12, "user", "> Sounds good\nOther conversation."),
+    ]
+    out = {r.turn: (r.reply_to, r.n_quotes, r.n_linked) for r in quote_links.replies(talk(spark, rows)).collect()}
+    assert {t: out[t] for t in range(5, 13)} == {5: (0, 1, 1), 6: (1, 1, 1), 7: (2, 1, 1), 8: (3, 1, 1), 9: (1, 1, 1), 10: (1, 2, 1), 11: (10, 1, 0), 12: (None, 1, 0)}
+
+
 def test_replies_stand_after_what_they_answer(spark):
     rng = random.Random(6)
     said = [" ".join(f"word{rng.randint(0, 10**6)}" for _ in range(5)) for _ in range(40)]

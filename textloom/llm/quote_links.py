@@ -2,15 +2,17 @@
 
 A message's lines carry a quote level: how many `>` marks they start with. Runs of lines of
 one level are passages; a line that ends in `wrote:` right before a quoted line is its
-attribution. Passages and the units of every message (its own text, its paragraphs, its
-lines) are normalised alike (lower case, runs of other characters than letters and digits as
-one space) and joined by hash within the conversation: a passage answers the latest earlier
-message that holds it. A message replies to the latest message its outermost linked quotes
+attribution. Passages and messages are normalised alike (lower case, runs of other characters
+than letters and digits as one space). A passage answers the latest earlier message of the
+conversation that holds it as a run of whole units, a unit being a sentence or what of it
+stands on one line: any sentences, lines or paragraphs in a row, wrapped alike or not, however
+short. Passages and the places where units begin are joined by hashes of the first words
+there; the normalised texts settle what the hashes mean. A message replies to the latest message its outermost linked quotes
 answer, else to the turn before it. Conversations are then written without quotes, each
 message after the one it replies to: ordered by that turn, then by its own.
 
-Scale: parsing is one narrow pass of higher-order functions; the join carries hashes only and
-just the messages that hold quotes reach it. A conversation is written in parts of
+Scale: parsing is one narrow pass of higher-order functions; the join carries hashes only,
+texts follow for its hits, and just conversations that hold quotes reach it. A conversation is written in parts of
 PART_TURNS consecutive turns, so no row grows without bound.
 
 Defined results: null text is empty; a null role is written as `user`; quotes that match no
@@ -28,18 +30,36 @@ from textloom.llm.common import sha256_hex
 
 PART_TURNS = 256
 MARKS = "^[ \\t]*(>[ \\t]*)*"
-#: Shorter units are too common to tell which message they come from.
-LEAST_CHARS = 12
+#: Where a message's units part: at line ends and behind the marks that end sentences.
+UNIT_ENDS = "\\r?\\n|(?<=[.!?…][\"')\\]»”’]{0,3})\\s+|(?<=[。！？])"
+#: Words that a key is made of; shorter passages are keyed whole.
+KEY_WORDS = 4
 
 
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
 
 
-def identity(text: Column) -> Column:
-    """A 128-bit stand-in of a normalised text; null if it is too short to tell."""
-    plain = normalised(text)
-    return F.when(F.length(plain) >= LEAST_CHARS, F.struct(F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit(1), plain).alias("k2")))
+def units(text: Column) -> Column:
+    """The normalised units of a text; joined by spaces they are the normalised text."""
+    return F.filter(F.transform(F.split(text, UNIT_ENDS), normalised), lambda x: x != "")
+
+
+def first_words(plain: Column) -> Column:
+    """What passages and places of a message are joined by."""
+    return F.xxhash64(F.substring_index(plain, " ", KEY_WORDS))
+
+
+def places(units: Column, ends: Column) -> Column:
+    """Structs (at, key) of the places where units begin, once for each key that a passage from there can have."""
+    def of(u: Column, i: Column) -> Column:
+        runs = [F.array_join(F.slice(units, i + 1, r), " ") for r in range(1, KEY_WORDS + 1)]
+        # a run of fewer words than a key has is keyed whole; KEY_WORDS units hold a full key if there is one
+        keys = F.array(first_words(runs[-1]), *(F.when(F.size(F.split(x, " ")) < KEY_WORDS, F.xxhash64(x)) for x in runs[:-1]))
+        at = F.get(ends, i) - F.length(u)
+        return F.transform(F.array_distinct(F.filter(keys, lambda k: k.isNotNull())), lambda k: F.struct(at.alias("at"), k.alias("key")))
+
+    return F.flatten(F.transform(units, of))
 
 
 def parsed_lines(text: Column) -> Column:
@@ -97,11 +117,19 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 def linked_quotes(turns: DataFrame) -> DataFrame:
     """One row per quoted passage: conv_id, turn, n, level, source (the turn it quotes, or null)."""
-    passages = turns.where(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("n", "p")).select("conv_id", "turn", "n", "p.level", identity(F.col("p.body")).alias("k"))
-    quoting = passages.select("conv_id").distinct()
-    units = F.array_distinct(F.concat(F.array("own"), F.split("own", "\\n[ \\t]*\\n"), F.split("own", "\\n")))
-    originals = turns.join(quoting, "conv_id", "left_semi").select("conv_id", F.col("turn").alias("source"), F.explode(units).alias("unit")).select("conv_id", "source", identity(F.col("unit")).alias("k")).where("k IS NOT NULL").distinct()
-    found = passages.join(originals, ["conv_id", "k"]).where("source < turn").groupBy("conv_id", "turn", "n").agg(F.max("source").alias("source"))
+    passages = turns.where(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("n", "p")).select("conv_id", "turn", "n", "p.level", normalised(F.col("p.body")).alias("plain"))
+    wanted = passages.where("plain <> ''").withColumn("key", first_words(F.col("plain")))
+    ends = F.aggregate("units", F.array().cast("array<int>"), lambda acc, u: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1) + 1, F.lit(0)) + F.length(u))))
+    originals = (
+        turns.join(passages.select("conv_id").distinct(), "conv_id", "left_semi")
+        .select("conv_id", F.col("turn").alias("source"), units(F.col("own")).alias("units"))
+        .select("conv_id", "source", "units", ends.alias("ends"))
+    )
+    begun = originals.select("conv_id", "source", F.explode(places(F.col("units"), F.col("ends"))).alias("p")).select("conv_id", "source", "p.at", "p.key")
+    hits = wanted.join(begun, ["conv_id", "key"]).where("source < turn").select("conv_id", "turn", "n", "plain", "source", "at")
+    whole = originals.select("conv_id", "source", F.array_join("units", " ").alias("whole"), "ends")
+    held = (F.expr("substring(whole, at + 1, length(plain))") == F.col("plain")) & F.array_contains("ends", F.col("at") + F.length("plain"))
+    found = hits.join(whole, ["conv_id", "source"]).where(held).groupBy("conv_id", "turn", "n").agg(F.max("source").alias("source"))
     return passages.select("conv_id", "turn", "n", "level").join(found, ["conv_id", "turn", "n"], "left")
 
 
