@@ -50,6 +50,18 @@ def test_license_scan_finds_what_counting_finds(spark):
         assert got[i] == brute_labels(text) | base, text
 
 
+def test_license_templates_across_lines(spark):
+    notice = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"
+    filler = " ".join(f"f{i}" for i in range(50))
+    texts = [notice, f"{filler}\n{isc}\n{filler}", notice.replace("\n", " "), "forms with or\nwithout"]
+    got = [(r.labels, r.n_blocks > 0) for r in license_scan.license_scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [("bsd", True), ("isc", True), ("bsd", True), ("", False)]
+    long = " ".join(f"t{i}" for i in range(60))
+    placed = docs(spark, [" ".join(["x"] * k + [long] + ["y"] * 70) for k in range(0, 64, 7)])
+    assert {r.labels for r in license_scan.license_scan(placed, templates=(("long", long),)).collect()} == {"long"}
+
+
 def test_license_phrases(spark):
     r = license_scan.license_scan(docs(spark, ["The MIT License, and MIT-License; apache license. GENERAL public\nlicense"])).first()
     assert (r.n_words, r.n_base, r.first_word, r.last_word) == (11, 4, 1, 8)

@@ -7,7 +7,10 @@ n - ceil(threshold * n) + 1 words in that order (prefix filter), has enough temp
 at all (length filter), and enough of them left from the first common word on, in both
 (positional filter); what passes is counted exactly. Blocks are lines; a line of more than
 `block_words` words is cut into windows of that size that start every half window, so any
-template up to half a window long lies whole in one of them.
+template up to half a window long lies whole in one of them. For templates that are wrapped,
+the same windows run over the words of the whole text; those that cross a line end are blocks
+for the templates that no line of the text matches. Windows are widened to twice the longest
+template.
 
 Scale: two narrow passes over the documents. The first counts template words (at most
 MAX_TEMPLATE_WORDS partial counts a task), the second matches against an index of template
@@ -94,17 +97,30 @@ class Index:
         return found
 
 
+def windows_of(words: list[bytes], block_words: int) -> list[tuple[int, list[bytes]]]:
+    """(start, words) of the windows that start every half window; all words if they fit one."""
+    if len(words) <= block_words:
+        return [(0, words)]
+    half = block_words // 2
+    return [(s, words[s : s + block_words]) for s in range(0, len(words) - block_words + half, half)]
+
+
+def line_blocks(text: str | None, block_words: int = BLOCK_WORDS) -> list[list[bytes]]:
+    """The word lists of the blocks that lie in one line."""
+    return [w for line in (text or "").encode().split(b"\n") for _, w in windows_of(words_of(line), block_words)]
+
+
+def crossing_blocks(text: str | None, block_words: int = BLOCK_WORDS) -> list[list[bytes]]:
+    """The word lists of the windows over the whole text that cross a line end."""
+    lines = [words_of(line) for line in (text or "").encode().split(b"\n")]
+    words = [w for line in lines for w in line]
+    of = [no for no, line in enumerate(lines) for _ in line]
+    return [w for s, w in windows_of(words, block_words) if w and of[s] != of[s + len(w) - 1]]
+
+
 def blocks_of(text: str | None, block_words: int = BLOCK_WORDS) -> list[list[bytes]]:
     """The word lists of the blocks of a text."""
-    out = []
-    for line in (text or "").encode().split(b"\n"):
-        words = words_of(line)
-        if len(words) <= block_words:
-            out.append(words)
-        else:
-            half = block_words // 2
-            out += [words[s : s + block_words] for s in range(0, len(words) - block_words + half, half)]
-    return out
+    return line_blocks(text, block_words) + crossing_blocks(text, block_words)
 
 
 def template_frequencies(df: DataFrame, text_col: str, templates: tuple[tuple[str, str], ...]) -> dict[bytes, int]:
@@ -138,10 +154,12 @@ def phrase_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per input row: n_words, n_base, first_word, last_word, base_labels, labels, n_blocks, score.
 
-    n_blocks counts the blocks that match a template; score is the best containment, 1 where
+    n_blocks counts the blocks that match a template, windows across lines only where they match
+    one that no line of the text does; score is the best containment, 1 where
     a phrase stands."""
     index = Index(templates, template_frequencies(df, text_col, templates), threshold)
     id_type = df.schema[id_col].dataType
+    block_words = max(block_words, 2 * max((len(words_of(text)) for _, text in templates), default=0))
 
     def per_batch(b: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
@@ -151,11 +169,17 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             base = {label for _, label in places}
             labels, best, blocks = set(base), 1.0 if places else 0.0, 0
             if not index.starters.isdisjoint(words):
-                for block in blocks_of(text, block_words):
-                    if not index.starters.isdisjoint(block) and (found := index.matches(block)):
-                        blocks += 1
-                        labels |= {index.labels[t] for t in found}
-                        best = max(best, *found.values())
+                in_lines: set[int] = set()
+                for across, some in ((False, line_blocks), (True, crossing_blocks)):
+                    for block in some(text, block_words):
+                        if index.starters.isdisjoint(block):
+                            continue
+                        found = {t: c for t, c in index.matches(block).items() if not across or t not in in_lines}
+                        if found:
+                            blocks += 1
+                            labels |= {index.labels[t] for t in found}
+                            best = max(best, *found.values())
+                            in_lines |= set() if across else set(found)
             starts = [s for s, _ in places]
             rows.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), blocks, round(best, 6)))
         columns = list(zip(*rows, strict=True))
