@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +37,11 @@ SEARCH_TOKEN = "[a-z0-9]+"
 LINE_END = "\\r\\n|[\\n\\r\\x85\\u2028\\u2029]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: lambdas that name an expression would compute it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Trims all Unicode white space, not only U+0020 as trim() does."""
     return F.regexp_replace(col, "(?U)^\\s+|\\s+$", "")
@@ -95,24 +100,39 @@ def digit_mask(line: Column) -> Column:
 
 
 def frequent(items: Column, times: int) -> Column:
-    """The distinct elements of an array that occur at least so often, by one sort: no pairwise comparing."""
-    ordered = F.array_sort(items)
-    return F.array_distinct(F.filter(ordered, lambda x, i: x == F.get(ordered, i + (times - 1))))
+    """The places of an array's elements that are not null and occur at least so often, by one sort: no pairwise comparing."""
+    placed = F.array_sort(F.filter(F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["x"].isNotNull()))
+
+    def of_run(s: Column) -> Column:
+        # an element is one of `times` equal ones if some stretch of that many around it begins and ends alike
+        alike = lambda i, k: (i >= k) & (F.get(s, F.greatest(i - k, F.lit(0)))["x"] == F.get(s, i - k + (times - 1))["x"])
+        within = lambda i: F.coalesce(alike(i, 0), F.lit(False))
+        hit = lambda i: within(i) if times == 1 else _any(F.coalesce(alike(i, k), F.lit(False)) for k in range(times))
+        return F.transform(F.filter(s, lambda p, i: hit(i)), lambda p: p["i"])
+
+    return bound(placed, of_run)
+
+
+def _any(conditions: Iterator[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
 
 
 def kept_lines(lines: Column) -> Column:
-    """Lines without page furniture, dot leaders and page numbers; table rows always stay."""
-    templates = F.transform(F.filter(lines, is_furniture_candidate), digit_mask)
-    furniture = frequent(templates, FURNITURE_REPEATS)
-    return F.filter(
-        lines,
-        lambda x: is_table_row(x)
-        | ~(
-            (is_furniture_candidate(x) & F.array_contains(furniture, digit_mask(x)))
-            | x.rlike(DOT_LEADER)
-            | x.rlike(PAGE_NUMBER)
-        ),
-    )
+    """Lines without page furniture, dot leaders and page numbers; table rows always stay.
+
+    Linear in the number of lines but for one sort: furniture is told by place, not looked up per line."""
+
+    def keep(own: Column) -> Column:
+        templates = F.transform(own, lambda x: F.when(is_furniture_candidate(x), digit_mask(x)))
+        fillers = F.transform(own, lambda x, i: F.when(~is_table_row(x) & (x.rlike(DOT_LEADER) | x.rlike(PAGE_NUMBER)), i))
+        places = F.transform(own, lambda x, i: i)
+        kept = F.array_except(F.array_except(places, frequent(templates, FURNITURE_REPEATS)), fillers)
+        return F.transform(kept, lambda i: F.get(own, i))
+
+    return bound(lines, keep)
 
 
 def clean_characters(col: Column) -> Column:

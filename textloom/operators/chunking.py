@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import is_table_row, n_words, sentences, strip, token_count, words
+from textloom.functions.text import bound, is_table_row, n_words, sentences, strip, token_count, words
 from textloom.operators.sections import WHOLE
 
 # Token budgets of a chunk, of the overlap, and held back for the header.
@@ -21,55 +21,55 @@ Counter = Callable[[Column], Column]
 
 def split_blocks(text: Column) -> Column:
     """array<struct<kind, body>>: runs of table rows and of other lines, blank ones dropped."""
-    lines = F.split(text, "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]")
+    rows = F.split(text, "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]")
     kind = lambda x: F.when(is_table_row(x), F.lit("table")).otherwise(F.lit("prose"))
-    starts = F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | (kind(x) != kind(F.get(lines, F.greatest(i - 1, F.lit(0))))), i)), lambda i: i.isNotNull())
-    blocks = F.transform(
-        starts,
-        lambda i, k: F.struct(
-            kind(F.get(lines, i)).alias("kind"),
-            F.array_join(F.slice(lines, i + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - i), "\n").alias("body"),
-        ),
-    )
-    return F.filter(blocks, lambda b: strip(b["body"]) != "")
+
+    def blocks(lines: Column) -> Column:
+        begins = lambda x, i: (i == 0) | (is_table_row(x) != is_table_row(F.get(lines, F.greatest(i - 1, F.lit(0)))))
+        starts = F.filter(F.transform(lines, lambda x, i: F.when(begins(x, i), i)), lambda i: i.isNotNull())
+        body = lambda i, end: F.array_join(F.slice(lines, i + 1, F.coalesce(end, F.size(lines)) - i), "\n")
+        return bound(starts, lambda s: F.transform(s, lambda i, k: F.struct(kind(F.get(lines, i)).alias("kind"), body(i, F.get(s, k + 1)).alias("body"))))
+
+    return F.filter(bound(rows, blocks), lambda b: strip(b["body"]) != "")
 
 
 def split_oversized(unit: Column, max_tokens: Column | int, count: Counter = token_count) -> Column:
     """A unit as word windows that fit the budget by the unit's own tokens per word."""
     budget = F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens
-    each = words(unit)
-    step = F.greatest(F.lit(1), F.floor(budget / (count(unit) / F.greatest(F.size(each), F.lit(1)))).cast("int"))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(each), F.lit(1)), step), lambda i: F.array_join(F.slice(each, i, step), " "))
-    return F.when((count(unit) <= budget) | (F.size(each) <= 1), F.array(unit)).otherwise(windows)
+
+    def windows(each: Column, n: Column) -> Column:
+        step = F.greatest(F.lit(1), F.floor(budget / (n / F.greatest(F.size(each), F.lit(1)))).cast("int"))
+        starts = lambda by: F.transform(F.sequence(F.lit(1), F.greatest(F.size(each), F.lit(1)), by), lambda i: F.array_join(F.slice(each, i, by), " "))
+        return bound(step, starts)
+
+    def fitted(n: Column) -> Column:
+        return F.when(n <= budget, F.array(unit)).otherwise(bound(words(unit), lambda each: F.when(F.size(each) <= 1, F.array(unit)).otherwise(windows(each, n))))
+
+    return bound(count(unit), fitted)
 
 
 def pack(units: Column, budget: int, overlap: int, count: Counter) -> Column:
     """Greedy packing of ordered units (text), carrying whole trailing units of at most `overlap` tokens.
 
-    One ordered fold per row; its state is the finished chunks, the open one and its size."""
+    One ordered fold per row; its state is the finished chunks, the open one and how many
+    tokens have gone by. An open unit knows how many went before it, so the size of any tail
+    of the open chunk is one subtraction."""
     sized = F.transform(units, lambda u: F.struct(u.alias("u"), count(u).alias("n")))
-    item = "struct<u:string,n:int>"
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast(f"array<{item}>").alias("open"), F.lit(0).alias("size"))
-
-    def carried(open_: Column) -> Column:
-        total = lambda tail: F.aggregate(tail, F.lit(0), lambda acc, x: acc + x["n"])
-        # the longest tail that fits; sizes are positive, so tails that fit are a run of lengths from 0
-        tails = F.filter(F.sequence(F.lit(0), F.size(open_)), lambda k: total(F.slice(open_, F.size(open_) - k + 1, k)) <= overlap)
-        keep = F.array_max(tails)
-        return F.slice(open_, F.size(open_) - keep + 1, keep)
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<struct<u:string,before:int>>").alias("open"), F.lit(0).alias("passed"))
+    joined = lambda open_: F.array_join(F.transform(open_, lambda y: y["u"]), " ")
 
     def step(acc: Column, x: Column) -> Column:
-        over = (F.size(acc["open"]) > 0) & (acc["size"] + x["n"] > budget)
-        tail = carried(acc["open"])
-        kept = F.when(over, tail).otherwise(acc["open"])
-        return F.struct(
-            F.when(over, F.concat(acc["done"], F.array(F.array_join(F.transform(acc["open"], lambda y: y["u"]), " ")))).otherwise(acc["done"]).alias("done"),
-            F.concat(kept, F.array(x)).alias("open"),
-            (F.aggregate(kept, F.lit(0), lambda a, y: a + y["n"]) + x["n"]).alias("size"),
-        )
+        passed, item = acc["passed"], F.struct(x["u"].alias("u"), acc["passed"].alias("before"))
+        over = (F.size(acc["open"]) > 0) & (passed - F.get(acc["open"], F.lit(0))["before"] + x["n"] > budget)
+        # sizes are positive, so the tails that fit are a run of lengths from 0
+        tail = F.filter(acc["open"], lambda y: passed - y["before"] <= overlap)
+        return F.when(
+            over,
+            F.struct(F.concat(acc["done"], F.array(joined(acc["open"]))).alias("done"), F.concat(tail, F.array(item)).alias("open"), (passed + x["n"]).alias("passed")),
+        ).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.array(item)).alias("open"), (passed + x["n"]).alias("passed")))
 
     def finish(acc: Column) -> Column:
-        return F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(F.array_join(F.transform(acc["open"], lambda y: y["u"]), " ")))).otherwise(acc["done"])
+        return F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(joined(acc["open"])))).otherwise(acc["done"])
 
     return F.aggregate(sized, zero, step, finish)
 
@@ -82,26 +82,30 @@ def chunk_prose(text: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERL
 
 def chunk_table(table: Column, max_tokens: int = MAX_TOKENS, count: Counter = token_count) -> Column:
     """A table in parts that each start with its header (two lines when the second is a rule)."""
-    lines = F.split(table, "\n")
-    ruled = F.coalesce(F.get(lines, F.lit(1)).rlike("^[-| ]*$"), F.lit(False))
-    size = F.when(ruled, 2).otherwise(1)
-    header = F.array_join(F.slice(lines, F.lit(1), size), "\n")
-    cost = count(header)
-    rows = F.flatten(F.transform(F.slice(lines, size + 1, F.greatest(F.size(lines) - size, F.lit(0))), lambda r: split_oversized(r, F.lit(max_tokens) - cost, count)))
-    sized = F.transform(rows, lambda r: F.struct(r.alias("u"), count(r).alias("n")))
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size"))
-    part = lambda open_: F.array_join(F.concat(F.array(header), open_), "\n")
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (F.size(acc["open"]) > 0) & (cost + acc["size"] + x["n"] > max_tokens)
-        return F.struct(
-            F.when(over, F.concat(acc["done"], F.array(part(acc["open"])))).otherwise(acc["done"]).alias("done"),
-            F.when(over, F.array(x["u"])).otherwise(F.concat(acc["open"], F.array(x["u"]))).alias("open"),
-            F.when(over, x["n"]).otherwise(acc["size"] + x["n"]).alias("size"),
-        )
-
-    split = F.aggregate(sized, zero, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(part(acc["open"])))).otherwise(acc["done"]))
-    return F.when(count(table) <= max_tokens, F.array(table)).otherwise(split)
+    def split(lines: Column) -> Column:
+        ruled = F.coalesce(F.get(lines, F.lit(1)).rlike("^[-| ]*$"), F.lit(False))
+        size = F.when(ruled, 2).otherwise(1)
+        header = F.array_join(F.slice(lines, F.lit(1), size), "\n")
+        rows = F.slice(lines, size + 1, F.greatest(F.size(lines) - size, F.lit(0)))
+        return bound(header, lambda h: bound(count(h), lambda cost: parts(h, cost, rows)))
+
+    def parts(header: Column, cost: Column, rows: Column) -> Column:
+        fitting = F.flatten(F.transform(rows, lambda r: split_oversized(r, F.lit(max_tokens) - cost, count)))
+        sized = F.transform(fitting, lambda r: F.struct(r.alias("u"), count(r).alias("n")))
+        zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size"))
+        part = lambda open_: F.array_join(F.concat(F.array(header), open_), "\n")
+
+        def step(acc: Column, x: Column) -> Column:
+            over = (F.size(acc["open"]) > 0) & (cost + acc["size"] + x["n"] > max_tokens)
+            return F.struct(
+                F.when(over, F.concat(acc["done"], F.array(part(acc["open"])))).otherwise(acc["done"]).alias("done"),
+                F.when(over, F.array(x["u"])).otherwise(F.concat(acc["open"], F.array(x["u"]))).alias("open"),
+                F.when(over, x["n"]).otherwise(acc["size"] + x["n"]).alias("size"),
+            )
+
+        return F.aggregate(sized, zero, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(part(acc["open"])))).otherwise(acc["done"]))
+
+    return F.when(count(table) <= max_tokens, F.array(table)).otherwise(bound(F.split(table, "\n"), split))
 
 
 def chunk_section(text: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, count: Counter = token_count) -> Column:

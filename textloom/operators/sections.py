@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import strip
+from textloom.functions.text import bound, strip
 
 # Heading patterns, and how many headings make a split trustworthy.
 ITEM_HEADER = "^\\s*(Item\\s+\\d+[A-Za-z]?(?:\\.\\d+)?\\.?\\s+[A-Z][A-Za-z0-9 ,.'&/\\-]{2,90})\\s*$"
@@ -55,28 +55,29 @@ def _item_sections(text: Column) -> Column:
     Dropped headers stay text of the section around them; text before the first is lost."""
     all_pieces = F.slice(pieces(text, ITEM_HEADER, "dim"), 2, 1_000_000_000)
     keyed = F.transform(all_pieces, lambda p: F.struct(p["title"].alias("title"), p["whole"].alias("whole"), p["rest"].alias("rest"), item_key(p["title"]).alias("key")))
-    starts_run = lambda i: (i == 0) | (F.get(keyed, i)["key"] != F.get(keyed, F.greatest(i - 1, F.lit(0)))["key"])
-    heads = F.filter(F.transform(keyed, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), starts_run(i).alias("head"))), lambda p: p["head"])
-    last = F.transform(F.filter(heads, lambda p: ~F.exists(heads, lambda q: (q["key"] == p["key"]) & (q["i"] > p["i"]))), lambda p: p["i"])
-    body = lambda i, k: F.concat(
-        F.get(keyed, i)["rest"],
-        F.array_join(
-            F.transform(
-                F.slice(keyed, i + 2, F.coalesce(F.get(last, k + 1), F.size(keyed)) - i - 1),
-                lambda p: F.concat(p["whole"], p["rest"]),
-            ),
-            "",
-        ),
-    )
-    found = F.transform(last, lambda i, k: F.struct(collapse(strip(F.get(keyed, i)["title"])).alias("title"), strip(body(i, k)).alias("body")))
-    return F.when(F.size(last) >= MIN_SECTIONS, F.filter(found, lambda s: s["body"] != ""))
+
+    def last_runs(found: Column) -> Column:
+        """Places of the first header of each key's last run, in order."""
+        starts_run = lambda i: (i == 0) | (F.get(found, i)["key"] != F.get(found, F.greatest(i - 1, F.lit(0)))["key"])
+        heads = F.array_sort(F.filter(F.transform(found, lambda p, i: F.when(starts_run(i), F.struct(p["key"].alias("key"), i.alias("i")))), lambda p: p.isNotNull()))
+        # sorted by key, then place: the last of a key is followed by another key
+        final = lambda s: F.filter(s, lambda p, j: F.coalesce(F.get(s, j + 1)["key"] != p["key"], F.lit(True)))
+        return F.array_sort(F.transform(bound(heads, final), lambda p: p["i"]))
+
+    def cut(found: Column, last: Column) -> Column:
+        following = lambda i, end: F.transform(F.slice(found, i + 2, F.coalesce(end, F.size(found)) - i - 1), lambda p: F.concat(p["whole"], p["rest"]))
+        body = lambda i, k: F.concat(F.get(found, i)["rest"], F.array_join(following(i, F.get(last, k + 1)), ""))
+        made = F.transform(last, lambda i, k: F.struct(collapse(strip(F.get(found, i)["title"])).alias("title"), strip(body(i, k)).alias("body")))
+        return F.when(F.size(last) >= MIN_SECTIONS, F.filter(made, lambda s: s["body"] != ""))
+
+    return bound(keyed, lambda found: bound(last_runs(found), lambda last: cut(found, last)))
 
 
 def _numbered_sections(text: Column) -> Column:
     """Sections by numbered headings; text before the first is front matter."""
-    found = pieces(text, NUMBERED_HEADING, "dm")
-    sections = F.transform(found, lambda p: F.struct(F.coalesce(collapse(strip(p["title"])), F.lit(FRONT)).alias("title"), strip(p["rest"]).alias("body")))
-    return F.when(F.size(found) - 1 >= MIN_SECTIONS, F.filter(sections, lambda s: s["body"] != ""))
+    made = lambda p: F.struct(F.coalesce(collapse(strip(p["title"])), F.lit(FRONT)).alias("title"), strip(p["rest"]).alias("body"))
+    cut = lambda found: F.when(F.size(found) - 1 >= MIN_SECTIONS, F.filter(F.transform(found, made), lambda s: s["body"] != ""))
+    return bound(pieces(text, NUMBERED_HEADING, "dm"), cut)
 
 
 def sections(text: Column) -> Column:

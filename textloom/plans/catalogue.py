@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as t
 from textloom.operators import answers, chunking, corpus, embedding, evaluate, extract, quality, search, sections
+from textloom.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *further: str) -> DataFrame:
+    """doc_id, text and further columns of the documents, dealt out for work that is heavy a row."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *further))
+
+
 # --- search ---------------------------------------------------------------------------------
 
 SQL_INDEX = """
@@ -178,13 +184,13 @@ norm AS (SELECT d.doc_id, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS
 
 @query(f"WITH {SQL_CLEAN.strip()} SELECT doc_id, sha256(text) AS text_sha256, length(text)::BIGINT AS n_chars FROM norm")
 def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = table(spark, sf_dir, "documents").select("doc_id", t.normalise_text(F.col("text")).alias("text"))
+    cleaned = texts(spark, sf_dir).select("doc_id", t.normalise_text(F.col("text")).alias("text"))
     return cleaned.select("doc_id", t.content_key(F.col("text")).alias("text_sha256"), F.length("text").cast("bigint").alias("n_chars"))
 
 
 @query(f"WITH {SQL_CLEAN.strip()} SELECT d.doc_id, count(n.i)::BIGINT AS lines_before, (SELECT count(*) FROM k WHERE k.doc_id = d.doc_id)::BIGINT AS lines_after FROM documents d LEFT JOIN n USING (doc_id) GROUP BY 1")
 def strip_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", t.lines_of(t.clean_characters(F.col("text"))).alias("lines"))
+    lines = texts(spark, sf_dir).select("doc_id", t.lines_of(t.clean_characters(F.col("text"))).alias("lines"))
     return lines.select("doc_id", F.size("lines").cast("bigint").alias("lines_before"), F.size(t.kept_lines(F.col("lines"))).cast("bigint").alias("lines_after"))
 
 
@@ -198,7 +204,7 @@ SQL_SENTENCES = r"""s AS (SELECT doc_id, unnest(string_split(regexp_replace(text
 
 @query(f"WITH {SQL_SENTENCES} SELECT doc_id, count(*)::BIGINT AS n_sentences, sum(length(s))::BIGINT AS n_chars FROM s WHERE trim(s) <> '' GROUP BY 1")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(t.sentences(F.col("text"))).alias("s"))
+    each = texts(spark, sf_dir).select("doc_id", F.explode(t.sentences(F.col("text"))).alias("s"))
     return each.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).cast("bigint").alias("n_chars"))
 
 
@@ -218,7 +224,7 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def prose_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("sec_pos"), F.lit(sections.WHOLE).alias("section"), F.col("text").alias("body"))
+    docs = texts(spark, sf_dir).select("doc_id", F.lit(0).alias("sec_pos"), F.lit(sections.WHOLE).alias("section"), F.col("text").alias("body"))
     chunks = chunking.chunk_documents(docs)
     return chunks.select("chunk_id", "doc_id", "section", "chunk_index", "word_count", t.content_key(F.col("text")).alias("text_sha256"))
 
@@ -231,7 +237,7 @@ def headed(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFram
     """Each text three times under three headings; every fourth document repeats the second item's number."""
     last = F.when(F.col("doc_id") % 4 == 0, "2").otherwise("3")
     kind = "" if numbered else "Item "
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(
+    return texts(spark, sf_dir, "source", "lang").where("text IS NOT NULL").select(
         "doc_id", F.concat(F.lit(f"{kind}1. Opening Words\n"), "text", F.lit(f"\n{kind}2. Middle Words\n"), "text", F.lit(f"\n{kind}"), last, F.lit(". Closing Words\n"), "text").alias("text")
     )
 
@@ -296,7 +302,7 @@ g AS (SELECT *, CASE WHEN chars < (CASE WHEN source = 'email' THEN 40 ELSE 500 E
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with metrics and grades; the source stands in for the type, twice the bytes for the file's size."""
-    docs = table(spark, sf_dir, "documents").withColumn("source_bytes", F.octet_length("text") * 2)
+    docs = texts(spark, sf_dir, "source").withColumn("source_bytes", F.octet_length("text") * 2)
     measured = quality.measure_documents(docs, "text", "source_bytes").drop("text")
     return quality.check_documents(measured, "source")
 

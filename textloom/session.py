@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "textloom", cpus: int | None = None, memory: str = "8g") -> SparkSession:
@@ -27,6 +27,16 @@ def local_session(app: str = "textloom", cpus: int | None = None, memory: str =
     )
 
 
+#: Inputs of at most so many bytes may be dealt out anew: they often come as a single row group, which one task reads.
+SMALL_INPUT = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out to all cores for work that is heavy a row; a larger one has row groups enough and stays as it is."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
+
+
 _shipped: set[str] = set()
 
 
