@@ -2,27 +2,32 @@
 
 A line is dropped when an earlier line (by document id, then line number) is equal to it or
 near it. Near are: two lines of at least `near_chars` characters within `max_edits` edits; two
-of at least `short_chars` within one; and, of any length, two lines that differ in at most one
-word in every `words_an_edit` of the longer one (changed, dropped or added words). Earlier
-lines count whether or not they are dropped themselves, so the rule needs no closure.
-
-Near lines are found among distinct lines only. For edits of characters, a line of length n is cut into max_edits + 1
-segments; two lines within max_edits edits share a segment at nearly the same place, so each
-line probes, for its own length and each slightly shorter one, the index of segments by
-(length, segment number, content) with the few substrings that the pigeonhole leaves
-possible. Character counts carried beside each key reject most false candidates inside the
-join; the rest are verified by Spark's banded, threshold-bounded edit distance.
-
-For edits of words, the budget leaves the two lines a common run of words, moved by no more
-words than the budget, and so the least hash of a few consecutive words among those of that
-run: every line is keyed by these minima. Lines are compared with the earliest line of each key first; only what that
-does not settle is paired with the other lines of its keys, so a large group of near copies
-costs its size, not its square. The edit distance of words is that of strings in which each
-word of the pair is one character.
+of at least `short_chars` within one; and, of any length, two lines within a budget of edited
+(changed, dropped or added) words, which is one in every `words_an_edit` of the longer line,
+from words_an_edit squared on its square root. Earlier lines count whether or not they are
+dropped themselves, so the rule needs no closure.
+
+Near lines are found among distinct lines only, characters and words by the same join. Lines
+fall into classes by length. A class has a budget k, which no pair whose shorter line is in
+it exceeds, and k + 1 segments of one size: the first half of them at fixed places from the
+line's start, the rest at fixed places from its end. Of an alignment within the budget, let
+segment i be the first with at most i edits in and before it: it has none, i lie before it
+and at most k - i after. So the other line holds its content, moved by at most i places from
+the start or k - i from the end. A line therefore indexes its k + 1 segments under its own
+class and under the one that a shorter partner may be in, and probes, in its own class, the
+(k + 1) * (k + 1) / 2 substrings that are left possible: as the budget is a square root at
+most, that grows in proportion to the line.
+
+Candidates are verified by Spark's banded, threshold-bounded edit distance; for words over
+strings in which each word of the pair is one character. Lines are compared with the
+earliest line of each key first; only what that does not settle is paired with the other
+lines of its keys, so a large group of near copies costs its size, not its square.
 
 Scale: equal lines meet only as (hash, first place) partial aggregates, so a line that a
-third of all documents share is one row; texts of distinct lines are written once and
-fetched again only for candidates; skewed keys are left to adaptive skew joins.
+third of all documents share is one row; keys are shuffled as two numbers in SLICES passes,
+to bound disk; keys that one line alone has end there, by a count; texts of distinct lines
+are written once and fetched again only for candidates. The verdicts on the most frequent
+lines (at most FREQUENT of them) are broadcast, so no task gets all places of a line.
 
 Defined results: null and empty texts have no lines to drop; blank lines stay; lines are
 compared whole, of any length; rows of equal id and text count as one document and get the
@@ -31,8 +36,11 @@ same result; a null id sorts before all others; other input columns pass through
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from math import isqrt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from textloom.llm.common import stored
 
@@ -40,16 +48,16 @@ MAX_EDITS = 2
 NEAR_CHARS = 40
 #: From this length on a line may differ by one edit.
 SHORT_CHARS = 20
-#: One edited word is allowed for every so many words of the longer line; from 10 on CLASSES is safe.
+#: One edited word is allowed for every so many words of the longer line.
 WORDS_AN_EDIT = 10
-#: (least words, run, gram): n words with n // 10 edits leave a common run of ceil((n - n // 10) / (n // 10 + 1))
-#: words, which is at least `run` from `least words` of the longer line on; keys are made of `gram` words.
-CLASSES = ((10, 5, 4), (20, 6, 4), (40, 8, 6))
-POS_BITS = 20
+#: Passes in which keys are shuffled, each with the segments of some numbers.
+SLICES = 3
+#: Lines whose verdicts are broadcast, at most: those with at least this share of all places.
+FREQUENT = 10_000
 #: Characters whose counts two near lines must nearly share; any would do, frequent ones reject most.
 COUNTED = ("e", "n", "t", "a", "i", "o", "r")
-#: Where a probe's key keeps, above the counts, how much shorter the line it looks for is.
-SHORTER_BITS = 56
+#: What a key row is to its line: its segment in its own class and a probe, a probe only, a segment only.
+BOTH, PROBE, SEGMENT = 0, 1, 2
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,152 +70,193 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _segment_key(line: Column, length: Column, i: Column, shift: Column, parts: int) -> Column:
-    """Key of the substring at segment i's place, moved by shift, for segments of a line of that length.
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b)).cast("int")
 
-    Segments are even, the longer ones last. Places outside the line give shorter substrings,
-    which match nothing by mistake: candidates are verified."""
-    size = F.call_function("div", length, F.lit(parts)).cast("int")
-    whole = parts - length % parts
-    start = size * i + F.greatest(i - whole, F.lit(0))
-    return F.xxhash64(length, i, F.substring(line, start + shift + 1, size + (i >= whole).cast("int")))
 
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
-def _probes(edits: int) -> list[tuple[int, int, int]]:
-    """(shorter, i, shift) of the substrings that can equal a segment of a line shorter by 0..edits.
 
-    Of an alignment within the budget, let segment i be the first one free of edits to its
-    left beyond i: then at most i edits lie before it and at most edits - i after, which
-    bounds how far it is shifted from either end (the multi-match-aware selection)."""
-    return [
-        (shorter, i, shift)
-        for shorter in range(edits + 1)
-        for i in range(edits + 1)
-        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
-    ]
+def word_budget(n: Column, words_an_edit: int = WORDS_AN_EDIT) -> Column:
+    """Edited words that a pair may have whose longer line has n words."""
+    return F.least(_div(n, words_an_edit), F.floor(F.sqrt(n)).cast("int"))
 
 
-def _keys(lines: DataFrame, probes: list[tuple[int, int, int]], parts: int) -> DataFrame:
-    """(key, l1, counts, shorter) of each line at each of the probes, one small expression per row."""
-    at = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("shorter", "i", "shift"), p, strict=True))) for p in probes))).alias("p")
-    spread = lines.select("l1", "counts", "line", "len", at).select("l1", "counts", "line", (F.col("len") - F.col("p.shorter")).alias("len_"), "p.shorter", "p.i", "p.shift")
-    return spread.select(_segment_key(F.col("line"), F.col("len_"), F.col("i"), F.col("shift"), parts).alias("key"), "l1", "counts", "shorter")
+def _width(n: Column) -> Column:
+    """How many lengths the class of length n holds: an eighth to a quarter of n, or half of it below 20."""
+    octave = F.length(F.bin(_div(n, 10))) - 1
+    return F.when(n < 10, 1).otherwise(F.call_function("shiftleft", F.lit(5), F.greatest(octave - 1, F.lit(0))))
 
 
-def near_links(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int = 0) -> DataFrame:
-    """Pairs (a1, a2, fa, b1, b2, fb) of different lines within max_edits edits, with their first places.
+def _class(n: Column, budget: Column, own: bool) -> Column:
+    """The class of length n as struct: low (its least length), k (its budget), own."""
+    return F.struct((n - n % _width(n)).alias("low"), budget.alias("k"), F.lit(own).alias("own"))
 
-    Where one of the lines is shorter than near_chars, they lie within one edit.
-    lines: (l1, l2, first, line, len, counts). Key rows carry a 64-bit line hash only; the
-    texts joined by it and the edit distance settle what it means."""
-    parts = max_edits + 1
-    a = _keys(lines, _probes(max_edits), parts).select("key", F.col("l1").alias("a1"), (F.col("counts") + F.shiftleft(F.col("shorter").cast("bigint"), SHORTER_BITS)).alias("a_counts"))
-    b = _keys(lines, [(0, i, 0) for i in range(parts)], parts).select("key", F.col("l1").alias("b1"), F.col("counts").alias("b_counts"))
-    byte = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(255)
-    gap = sum((F.abs(byte("a_counts", k) - byte("b_counts", k)) for k in range(len(COUNTED))), F.lit(0))
-    shorter = F.shiftright("a_counts", SHORTER_BITS)
-    once = F.when(shorter == 0, F.col("a1") > F.col("b1")).otherwise(F.col("a1") != F.col("b1"))
-    # a substitution changes two counts by one, an insertion or deletion one count and the length
-    pairs = stored(a.join(b, "key").where(once & (gap <= 2 * max_edits - shorter)).select("a1", "b1").distinct(), "candidates")
-    of = lambda x: lines.select(F.col("l1").alias(f"{x}1"), F.col("l2").alias(f"{x}2"), F.col("first").alias(f"f{x}"), F.col("line").alias(f"line_{x}"))
-    distance = F.levenshtein("line_a", "line_b", max_edits)
-    short = F.least(F.length("line_a"), F.length("line_b")) < near_chars
-    return pairs.join(of("a"), "a1").join(of("b"), "b1").where((distance >= 0) & (~short | (distance <= 1))).select("a1", "a2", "fa", "b1", "b2", "fb")
 
+def _key_rows(lines: DataFrame, kind: int, size: str, classes: Column, content: str, cut, part: int) -> DataFrame:
+    """(key, who) of the segments and probes with numbers of this part; who is the line's number and what the row is to it.
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+    cut(start, n) takes n units from the content column."""
+    i, k, own = F.col("i"), F.col("c.k"), F.col("c.own")
+    numbers = F.when(k >= part, F.sequence(F.lit(part), k, F.lit(SLICES)))
+    reach = F.when(own, F.least(i, k - i)).otherwise(0)
+    each = _div(F.col("low"), 1)
+    segment = F.call_function("div", F.col("low"), F.col("k") + 1).cast("int")
+    from_start, from_end = F.col("i") * segment, F.col(size) - (F.col("k") - F.col("i") + 1) * segment
+    role = F.when(~F.col("own"), SEGMENT).when(F.col("shift") == 0, BOTH).otherwise(PROBE)
+    return (
+        lines.select("lid", size, content, F.explode(classes).alias("c"))
+        .where(F.col("c.k") > 0)
+        .select("lid", size, content, "c", F.explode(numbers).alias("i"))
+        .select("lid", size, content, F.col("c.low").alias("low"), k.alias("k"), own.alias("own"), "i", F.explode(F.sequence(-reach, reach)).alias("shift"))
+        .select("lid", size, content, each.alias("low"), "i", segment.alias("n"), (F.when(F.col("i") <= _div(F.col("k"), 2), from_start).otherwise(from_end) + F.col("shift")).alias("start"), role.alias("role"))
+        .where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col(size)))
+        .select(F.xxhash64(F.lit(kind), "low", "i", cut(F.col("start"), F.col("n"))).alias("key"), (F.col("lid") * 4 + F.col("role")).alias("who"))
+    )
+
+
+def word_classes(n: Column, words_an_edit: int = WORDS_AN_EDIT) -> Column:
+    """The classes that a line of n words has keys in, its own first; none if it is too short."""
 
+    def of(n: Column, own: bool) -> Column:
+        most = n - n % _width(n) + _width(n) - 1
+        # a longer line of n words within the budget of a shorter one of m: n - n / words_an_edit <= m
+        return _class(n, word_budget(F.call_function("div", most * words_an_edit, F.lit(words_an_edit - 1)).cast("int") + 1, words_an_edit), own)
 
-def _word_keys(line: Column) -> Column:
-    """The least hash of consecutive words in every run, by the classes the line's length falls in.
+    least = n - word_budget(n, words_an_edit)
+    lower = F.when(least - least % _width(least) != n - n % _width(n), of(least, False))
+    return F.when(n >= words_an_edit - 1, F.array_compact(F.array(of(n, True), lower)))
 
-    The lowest POS_BITS bits of a hash are the place of its first word, modulo what they hold."""
-    starts = lambda x, n: F.sequence(F.lit(0), F.size(x) - n)
 
-    def minima(h: Column, seed: int, run: int, gram: int) -> Column:
-        span = run - gram + 1
-        high = lambda x: F.shiftleft(F.shiftright(x, POS_BITS), POS_BITS)
-        grams = F.transform(starts(h, gram), lambda i: high(F.xxhash64(F.lit(seed), *(F.get(h, i + k) for k in range(gram)))) + i.bitwiseAND((1 << POS_BITS) - 1))
-        # a one-element array binds what is computed once
-        return F.flatten(F.transform(F.array(grams), lambda g: F.array_distinct(F.transform(starts(g, span), lambda i: F.least(*(F.get(g, i + k) for k in range(span)))))))
+def char_classes(n: Column, max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS, short_chars: int = SHORT_CHARS) -> Column:
+    """The classes that a line of n characters has keys in, its own first; none if it is too short."""
 
-    def of_class(h: Column, c: int) -> Column:
-        least, run, gram = CLASSES[c]
-        # the shorter of two lines may lie below the class by the budget of its least length
-        within = F.size(h) >= least - least // 10
-        if c + 1 < len(CLASSES):
-            within = within & (F.size(h) < CLASSES[c + 1][0])
-        return F.when(within, minima(h, c, run, gram)).otherwise(F.array().cast("array<bigint>"))
+    def of(n: Column, own: bool) -> Column:
+        most = n - n % _width(n) + _width(n) - 1
+        return _class(n, F.when(most >= near_chars, max_edits).when(most >= short_chars, 1).otherwise(0), own)
 
-    hashes = F.array(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    return F.flatten(F.transform(hashes, lambda h: F.concat(*(of_class(h, c) for c in range(len(CLASSES))))))
+    def lower(j: int) -> Column:
+        # the class of a line shorter by j, if it begins there
+        m = F.greatest(n - j, F.lit(0))
+        return F.when(m - m % _width(m) != (m + 1) - (m + 1) % _width(m + 1), of(m, False))
+
+    return F.when(n >= min(near_chars, short_chars), F.array_compact(F.array(of(n, True), *(lower(j) for j in range(1, max_edits + 1)))))
+
+
+def _by_words(lines: DataFrame, part: int) -> DataFrame:
+    some = lines.where("word_classes IS NOT NULL").select("lid", "w", _words(F.col("line")).alias("words"), "word_classes")
+    return _key_rows(some, 1, "w", F.col("word_classes"), "words", lambda start, n: F.slice("words", start + 1, n), part)
+
+
+def _by_chars(lines: DataFrame, part: int) -> DataFrame:
+    some = lines.where("char_classes IS NOT NULL").select("lid", "len", "line", "char_classes")
+    return _key_rows(some, 0, "len", F.col("char_classes"), "line", lambda start, n: F.substring(F.col("line"), start + 1, n), part)
+
+
+def few_words(max_edits: int, words_an_edit: int) -> int:
+    """Lines of at least so many words that differ by max_edits characters are within the budget of words.
+
+    A changed character costs two edited words at most; the partner may have max_edits words fewer."""
+    n = words_an_edit
+    while min(n // words_an_edit, isqrt(n)) < 2 * max_edits:
+        n += 1
+    return n + max_edits
 
 
 def _within_words(a: Column, b: Column, words_an_edit: int) -> Column:
     """Whether the word arrays lie within their budget of word edits, each word of the two as one character."""
-    budget = F.call_function("div", F.greatest(F.size(a), F.size(b)), F.lit(words_an_edit)).cast("int")
+    budget = word_budget(F.greatest(F.size(a), F.size(b)), words_an_edit)
     known = F.array_distinct(F.concat(a, b))
     coded = lambda x, d: F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(F.array_position(d, w) + 0x10000), 8, "0")), "")), "UTF-32")
-    distance = F.get(F.transform(F.array(known), lambda d: F.call_function("levenshtein", coded(a, d), coded(b, d))), F.lit(0))
-    return (F.size(F.array_except(a, b)) <= budget) & (F.size(F.array_except(b, a)) <= budget) & (distance <= budget)
-
-
-def word_near(lines: DataFrame, words_an_edit: int = WORDS_AN_EDIT) -> DataFrame:
-    """(l1, l2) of the lines that lie within the budget of word edits of a line with an earlier first place.
-
-    lines: (l1, l2, first, line)."""
-    if words_an_edit < WORDS_AN_EDIT:
-        raise ValueError("more than one edited word in ten does not leave the runs of CLASSES")
-    n = F.size(_words(F.col("line"))).alias("n")
-    places = 1 << POS_BITS
-    keyed = lines.select("l1", n, F.explode(_word_keys(F.col("line"))).alias("k")).select("l1", "n", F.shiftright("k", POS_BITS).alias("key"), F.col("k").bitwiseAND(places - 1).cast("int").alias("pos"))
-    shared = stored(keyed.withColumn("held", F.count("*").over(Window.partitionBy("key"))).where("held > 1").drop("held"), "word_keys")
-    texts = stored(lines.join(shared.select("l1").distinct(), "l1", "left_semi").select("l1", "l2", "first", "line"), "word_lines")
-    placed = shared.join(texts.select("l1", "first"), "l1")
-    budget = F.call_function("div", F.greatest("n", "m"), F.lit(words_an_edit))
-    moved = F.abs(F.col("pos") - F.col("at"))
-    fits = (F.col("l1") != F.col("e1")) & (F.abs(F.col("n") - F.col("m")) <= budget) & (F.least(moved, places - moved) <= budget)
-
-    def later(pairs: DataFrame, name: str) -> DataFrame:
-        found = stored(pairs.where(fits).select("l1", "e1").distinct(), name)
-        early = texts.select(F.col("l1").alias("e1"), F.col("first").alias("before"), F.col("line").alias("other"))
-        near = _within_words(_words(F.col("line")), _words(F.col("other")), words_an_edit)
-        return stored(found.join(texts, "l1").join(early, "e1").where((F.col("first") > F.col("before")) & near).select("l1", "l2").distinct(), name)
-
-    heads = placed.groupBy("key").agg(F.min(F.struct("first", "l1", "n", "pos")).alias("head")).select("key", F.col("head.l1").alias("e1"), F.col("head.n").alias("m"), F.col("head.pos").alias("at"))
-    settled = later(placed.join(heads, "key"), "word_heads")
-    earlier = placed.select("key", F.col("l1").alias("e1"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("first").alias("before"))
-    rest = placed.join(settled.select("l1").distinct(), "l1", "left_anti")
-    return settled.union(later(rest.join(earlier, "key").where("first > before"), "word_rest")).distinct()
+    distance = F.get(F.transform(F.array(known), lambda d: F.call_function("levenshtein", coded(a, d), coded(b, d), budget)), F.lit(0))
+    return (budget > 0) & (F.abs(F.size(a) - F.size(b)) <= budget) & (F.size(F.array_except(a, b)) <= budget) & (F.size(F.array_except(b, a)) <= budget) & (distance >= 0)
+
+
+def later_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS, short_chars: int = SHORT_CHARS, words_an_edit: int = WORDS_AN_EDIT) -> DataFrame:
+    """(lid) of the lines that are near a line with an earlier first place.
+
+    lines: (lid, first, by, line, len, w, counts, word_classes, char_classes), written; by is a
+    number that never orders two lines against their first places."""
+    if words_an_edit < 10:
+        raise ValueError("more than one edited word in ten does not leave the classes of a line at two")
+    parts = []
+    for part in range(SLICES):
+        # two columns, both used by either reader, so that the shuffle is made once
+        rows = _by_words(lines, part).unionByName(_by_chars(lines, part)).repartition("key")
+        who = F.shiftright("who", 2)
+        held = rows.groupBy("key").agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least < most").select("key")
+        parts.append(stored(rows.join(held.hint("shuffle_hash"), "key", "left_semi"), "line_keys"))
+    shared = parts[0]
+    for p in parts[1:]:
+        shared = shared.unionByName(p)
+    facts = lines.select("lid", "by", "w", "len", "counts")
+    role = F.col("who").bitwiseAND(3)
+    placed = stored(shared.select("key", F.shiftright("who", 2).alias("lid"), role.alias("role")).join(facts, "lid"), "line_places")
+    byte = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(255)
+    gap = sum((F.abs(byte("counts", k) - byte("e_counts", k)) for k in range(len(COUNTED))), F.lit(0))
+    by_chars = (F.abs(F.col("len") - F.col("e_len")) <= max_edits) & (gap <= 2 * max_edits)
+    by_words = F.abs(F.col("w") - F.col("e_w")) <= word_budget(F.greatest("w", "e_w"), words_an_edit)
+    fits = (F.col("lid") != F.col("e_lid")) & (by_chars | by_words)
+
+    def early(side: DataFrame) -> DataFrame:
+        return side.select("key", *(F.col(c).alias(f"e_{c}") for c in ("lid", "by", "w", "len", "counts")))
+
+    def near(pairs: DataFrame, name: str) -> DataFrame:
+        """The later lines of the candidates that are near."""
+        found = stored(pairs.where(fits).select(F.least("lid", "e_lid").alias("a"), F.greatest("lid", "e_lid").alias("b")).distinct(), name)
+        of = lambda x: lines.select(F.col("lid").alias(x), F.col("first").alias(f"first_{x}"), F.col("line").alias(f"line_{x}"))
+        least = F.least(F.length("line_a"), F.length("line_b"))
+        edits = F.levenshtein("line_a", "line_b", max_edits)
+        alike = (edits >= 0) & (edits <= F.when(least >= near_chars, max_edits).when(least >= short_chars, 1).otherwise(0))
+        alike = alike | _within_words(_words(F.col("line_a")), _words(F.col("line_b")), words_an_edit)
+        late = F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b"))
+        return stored(found.join(of("a"), "a").join(of("b"), "b").where(alike).select(late.alias("lid")).distinct(), name)
+
+    segments, probes = placed.where(F.col("role") != PROBE), placed.where(F.col("role") != SEGMENT)
+    heads = placed.where(F.col("role") != PROBE).groupBy("key").agg(F.min(F.struct("by", "lid", "w", "len", "counts")).alias("head"), F.count("*").alias("segments"))
+    first = heads.select("key", *(F.col(f"head.{c}").alias(f"e_{c}") for c in ("lid", "by", "w", "len", "counts")))
+    settled = near(probes.join(first, "key"), "line_heads")
+    # what is left: pairs of which neither is the head of their key, so keys of two segments at least
+    crowded = heads.where("segments > 1").select("key")
+    open_ = lambda side: side.join(settled, "lid", "left_anti").join(crowded, "key", "left_semi")
+    earlier = F.col("e_by") <= F.col("by")
+    rest = open_(probes).join(early(segments.join(crowded, "key", "left_semi")), "key").where(earlier)
+    # the other way round the open line is the segment
+    turned = open_(segments).join(early(probes.join(crowded, "key", "left_semi")), "key").where(earlier)
+    return settled.unionByName(near(rest.unionByName(turned), "line_rest")).distinct()
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS, short_chars: int = SHORT_CHARS, words_an_edit: int = WORDS_AN_EDIT) -> DataFrame:
     """One row per document that loses lines: (id, h, dropped), dropped being sorted line numbers from 0."""
     occurring = _lines(docs, id_col, text_col)
     place = F.struct("id", "h", "no")
-    compared = min(near_chars, short_chars)
+    compared = min(near_chars, short_chars, 2 * words_an_edit - 3)
     counts = sum((F.shiftleft(F.least(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit(""))), F.lit(127)).cast("bigint"), 8 * k) for k, c in enumerate(COUNTED)), F.lit(0).cast("bigint"))
-    distinct = stored(
+    by = F.coalesce(F.col("first.id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint")) if isinstance(docs.schema[id_col].dataType, IntegralType) else F.lit(0).cast("bigint")
+    n, w = F.length("line"), F.size(_words(F.col("line")))
+    found = (
         occurring.groupBy("l1", "l2")
-        .agg(F.min(place).alias("first"), F.max(F.when(F.length("line") >= min(compared, 2 * words_an_edit - 3), F.col("line"))).alias("line"))
-        .withColumn("len", F.length("line"))
-        .withColumn("counts", F.when(F.col("line").isNotNull(), counts)),
-        "lines",
-    )
-    firsts = distinct.select("l1", "l2", "first")
-    late_a = F.col("fa") > F.col("fb")
-    later = (
-        near_links(distinct.where(F.col("len") >= compared), max_edits, near_chars)
-        .select(F.when(late_a, F.col("a1")).otherwise(F.col("b1")).alias("l1"), F.when(late_a, F.col("a2")).otherwise(F.col("b2")).alias("l2"))
-        .union(word_near(distinct.where(F.col("line").isNotNull()), words_an_edit))
-        .distinct()
-        .withColumn("near", F.lit(True))
+        .agg(F.min(place).alias("first"), F.count("*").alias("places"), F.max(F.when(F.length("line") >= compared, F.col("line"))).alias("line"))
+        .select(F.monotonically_increasing_id().alias("lid"), "l1", "l2", "first", by.alias("by"), "places", "line", n.alias("len"), w.alias("w"), F.when(F.col("line").isNotNull(), counts).alias("counts"))
     )
-    verdicts = firsts.join(later, ["l1", "l2"], "left")
+    kinds = {
+        "word_classes": word_classes(F.col("w"), words_an_edit),
+        "char_classes": F.when(F.col("w") < few_words(max_edits, words_an_edit), char_classes(F.col("len"), max_edits, near_chars, short_chars)),
+    }
+    distinct = stored(found.withColumns(kinds), "lines")
+    later = later_lines(distinct.where(F.col("line").isNotNull()), max_edits, near_chars, short_chars, words_an_edit).withColumn("near", F.lit(True))
+    verdicts = distinct.select("lid", "l1", "l2", "first", "places").join(later, "lid", "left").select("l1", "l2", "first", "near", "places")
+    least = F.ceil(distinct.agg(F.sum("places").alias("n")).select("n").scalar() / FREQUENT)
+    often = F.col("places") > least
+    known = verdicts.where(often).select(F.col("l1").alias("o1"), F.col("l2").alias("o2"), F.col("first").alias("o_first"), F.col("near").alias("o_near"))
+    told = occurring.select("id", "h", "no", "l1", "l2").join(F.broadcast(known), (F.col("l1") == F.col("o1")) & (F.col("l2") == F.col("o2")), "left")
+    # places of frequent lines know their verdict; keys that no line has deal them out evenly
+    dealt = told.withColumn("l1", F.when(F.col("o1").isNull(), F.col("l1")).otherwise(F.xxhash64("id", "h", "no")))
+    others = verdicts.where(~often).select("l1", "l2", "first", "near")
     return (
-        occurring.select("id", "h", "no", "l1", "l2")
-        .join(verdicts, ["l1", "l2"])
+        dealt.join(others, ["l1", "l2"], "left")
+        .select("id", "h", "no", F.coalesce("o_first", "first").alias("first"), F.coalesce("o_near", "near").alias("near"))
         .where(F.col("near").isNotNull() | ~place.eqNullSafe(F.col("first")))
         .groupBy("id", "h")
         .agg(F.array_sort(F.collect_set("no")).alias("dropped"))
