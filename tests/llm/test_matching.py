@@ -116,6 +116,25 @@ def test_viterbi_fold_finds_the_best_path(spark):
     assert {r.unit: r.ids for r in got} == {u: best(u) for u in ("abcab", "xab", "c", "bcbcaab")}
 
 
+def test_merges_in_one_pass_equal_merges_by_heap(spark):
+    rng = random.Random(5)
+    late = flagged = 0
+    for round_ in range(4):
+        parts = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))) for _ in range(30)} | {"a", "b", "c"}
+        order = sorted(parts, key=lambda p: (len(p) if round_ % 2 else 0, rng.random()))
+        ids = {p: (i, -float(i // 2)) for i, p in enumerate(order)}
+        pieces = sentencepiece_lattice.Pieces(ids, {i: p.encode() for p, (i, _) in ids.items()}, None, 99, False, False, 5, sentencepiece_lattice.BY_SPACE)
+        words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 20))) for _ in range(60)})
+        n = F.length("unit")
+        longer = F.filter("edges", lambda x: x["inner"] != 0)
+        edges = sentencepiece_lattice.lattice(spark.createDataFrame([(w,) for w in words], "unit string"), pieces)
+        once = F.shiftright(sentencepiece_lattice.borders_in_one_pass(longer, n), sentencepiece_lattice.AGAIN_BIT)
+        got = edges.select("unit", sentencepiece_lattice.ids_between(F.col("edges"), sentencepiece_lattice.merged_borders(longer, n), F.col("unit"), n, pieces).alias("ids"), once.alias("again"), F.exists("edges", lambda x: x["late"]).alias("late")).collect()
+        assert {r.unit: r.ids for r in got} == {w: sentencepiece_lattice.heap_merge(w, pieces) for w in words}
+        late, flagged = late + sum(r.late for r in got), flagged + sum(r.again != 0 for r in got)
+    assert late and flagged
+
+
 def test_encoding_edges(spark, edge, empty):
     out = sentencepiece_lattice.encoding_summary(edge, MODEL).collect()
     assert len(out) == len(EDGE) and {r.n_tokens for r in out if r.doc_id in (1, 2)} == {0}

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,24 +70,37 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; an own one only where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="textloom-checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings that hold for a while; dots in their names are written as double underscores."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str, **held: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives executors.
 
-    The shuffle files behind it are of no more use, so Spark is told to remove them at once."""
+    The shuffle files behind it are of no more use, so Spark is told to remove them at once.
+    held: further settings while it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark, **{CLEANUP.replace(".", "__"): "true"}, **held):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
