@@ -3,8 +3,9 @@
 A credential has parts: an access identifier, a secret and an endpoint. Strong parts
 (assignments of secrets, access keys, long hex runs) are reported wherever they stand.
 Weak parts (account names, mixed-case random-looking runs, URLs) are reported only when a
-complementary part, strong or weak, lies within the same scope: at most `scope` characters
-between the two. The parts of a text are joined as sorted intervals in one sweep.
+complementary part, strong or weak, lies within the same scope: beside it, at most `scope`
+characters between the two. Parts that overlap are one string and never complete each other.
+The parts of a text are joined as sorted intervals in one sweep.
 
 Defined results: a null text counts as empty; positions are code points, end exclusive;
 texts are scanned whole; repeated rows give repeated results; other columns are ignored.
@@ -62,22 +63,16 @@ def weak_parts(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 def linked(weak: list[tuple[int, int, str]], parts: list[tuple[int, int, str]], scope: int) -> list[tuple[int, int, str]]:
-    """The weak parts that have a complementary part within scope: an interval semi-join.
-
-    Per kind the parts are sorted by start, with the running maximum of their ends, so one
-    binary search for the last part that starts early enough answers the question."""
-    by_kind: dict[str, tuple[list[int], list[int]]] = {}
-    for kind in KINDS:
-        spans = sorted((s, e) for s, e, k in parts if k == kind)
-        reach, most = [], 0
-        for _, e in spans:
-            reach.append(most := max(most, e))
-        by_kind[kind] = ([s for s, _ in spans], reach)
+    """The weak parts that have a complementary part beside them within scope: an interval semi-join.
+
+    Of each kind the part that ends last before a weak part and the one that starts first
+    behind it are the nearest beside it; sorted ends and starts tell both by binary search."""
+    by_kind = {kind: (sorted(s for s, _, k in parts if k == kind), sorted(e for _, e, k in parts if k == kind)) for kind in KINDS}
 
     def near(w: tuple[int, int, str], kind: str) -> bool:
-        starts, reach = by_kind[kind]
-        k = bisect_right(starts, w[1] + scope)
-        return k > 0 and reach[k - 1] >= w[0] - scope
+        starts, ends = by_kind[kind]
+        behind, before = bisect_left(starts, w[1]), bisect_right(ends, w[0])
+        return (behind < len(starts) and starts[behind] <= w[1] + scope) or (before > 0 and ends[before - 1] >= w[0] - scope)
 
     return [w for w in weak if any(near(w, kind) for kind in COMPLETED_BY[w[2]])]
 

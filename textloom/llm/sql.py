@@ -36,7 +36,7 @@ def secret_scan_sql(scope: int = 200) -> str:
     )
     ctes.append(
         "linked AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM (SELECT * FROM strong UNION ALL SELECT * FROM weak) x "
-        f"WHERE x.rid = w.rid AND x.s <= w.e + {scope} AND x.e >= w.s - {scope} AND "
+        f"WHERE x.rid = w.rid AND ((x.s >= w.e AND x.s - w.e <= {scope}) OR (x.e <= w.s AND w.s - x.e <= {scope})) AND "
         "((w.kind IN ('ident', 'endpoint') AND x.kind IN ('assign', 'hex', 'random')) OR (w.kind = 'random' AND x.kind IN ('access', 'ident', 'endpoint')))))"
     )
     ctes.append("found AS (SELECT *, true AS base FROM strong UNION ALL SELECT *, false AS base FROM linked)")
