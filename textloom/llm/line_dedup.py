@@ -51,7 +51,7 @@ SHORT_CHARS = 20
 #: One edited word is allowed for every so many words of the longer line.
 WORDS_AN_EDIT = 10
 #: Passes in which keys are shuffled, each with the segments of some numbers.
-SLICES = 3
+SLICES = 2
 #: Lines whose verdicts are broadcast, at most: those with at least this share of all places.
 FREQUENT = 10_000
 #: Characters whose counts two near lines must nearly share; any would do, frequent ones reject most.
@@ -85,8 +85,11 @@ def word_budget(n: Column, words_an_edit: int = WORDS_AN_EDIT) -> Column:
 
 def _width(n: Column) -> Column:
     """How many lengths the class of length n holds: an eighth to a quarter of n, or half of it below 20."""
-    octave = F.length(F.bin(_div(n, 10))) - 1
-    return F.when(n < 10, 1).otherwise(F.call_function("shiftleft", F.lit(5), F.greatest(octave - 1, F.lit(0))))
+    # comparisons end at once for nearly all lines; no line has 2^31 units
+    out = F.when(n < 10, 1).when(n < 40, 5)
+    for octave in range(2, 27):
+        out = out.when(n < 20 << octave, 5 << (octave - 1))
+    return out.otherwise(5 << 26)
 
 
 def _class(n: Column, budget: Column, own: bool) -> Column:
@@ -182,11 +185,12 @@ def later_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int =
         raise ValueError("more than one edited word in ten does not leave the classes of a line at two")
     parts = []
     for part in range(SLICES):
-        # two columns, both used by either reader, so that the shuffle is made once
+        # two columns, both used by either reader, so that the shuffle is made once for both
         rows = _by_words(lines, part).unionByName(_by_chars(lines, part)).repartition("key")
         who = F.shiftright("who", 2)
         held = rows.groupBy("key").agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least < most").select("key")
-        parts.append(stored(rows.join(held.hint("shuffle_hash"), "key", "left_semi"), "line_keys"))
+        # an inner join: a semi-join would be moved into the union, and either side shuffled for itself
+        parts.append(stored(rows.join(held.hint("shuffle_hash"), "key"), "line_keys"))
     shared = parts[0]
     for p in parts[1:]:
         shared = shared.unionByName(p)
