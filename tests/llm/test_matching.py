@@ -1,14 +1,17 @@
 """Decontamination, SentencePiece, quotation linking, the pipeline, and the guard around them."""
 
 import random
+import re
 
+import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGE, LONG
-from textloom.llm import decontaminate, quote_links, sentencepiece_lattice
+from textloom.llm import decontaminate, quote_links, sentencepiece_lattice, sql
 from textloom.llm.common import words_of
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -198,6 +201,43 @@ def test_replies_stand_after_what_they_answer(spark):
     assert all(order.index(r) < order.index(t) for t, r in replies.items() if r is not None)
 
 
+def test_random_conversations_equal_every_run_of_units(spark, monkeypatch):
+    monkeypatch.setattr(quote_links, "SPAN", 32)
+    rng = random.Random(12)
+    common = ["Yes.", "Sounds good!", "I think that we should wait.", "I think that we should go (now).", "Why?"]
+
+    def message(before):
+        own = [" ".join(f"w{rng.randint(0, 40)}" for _ in range(rng.randint(1, 7))).capitalize() + rng.choice([".", "?", "!", "", '."']) if rng.random() < 0.6 else rng.choice(common) for _ in range(rng.randint(1, 6))]
+        text = "".join(x + rng.choice([" ", "\n", "\n\n", "  "]) for x in own)
+        for _ in range(rng.randint(0, 2) if before else 0):
+            units = re.split(r"(?<=[.!?])\s+|\n+", rng.choice(before))
+            start = rng.randrange(len(units))
+            quoted = " ".join(units[start : start + rng.randint(1, 3)]).split(" ")
+            if rng.random() < 0.2:
+                quoted = quoted[1:]
+            marks = rng.choice([">", "> ", ">>", "> > "])
+            head = rng.choice(["", "", "On Monday Bob wrote:\n"])
+            text = f"{head}{marks}{(' ' if rng.random() < 0.7 else chr(10) + marks).join(quoted)}\n" + text
+        return text
+
+    rows = []
+    for conv, n in ((1, 300), (2, 40), (3, 40), (4, 5)):
+        said = []
+        for turn in range(n):
+            text = message(said)
+            said.append("\n".join(x for x in text.split("\n") if not x.startswith(">") and not x.endswith("wrote:")))
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), text))
+    rows += [(5, 0, "user", "One. Two. Three.\n" * 700), (5, 1, "user", "> One. Two. Three.\n" * 3000 + "long"), (5, 2, "user", "> One. Two. Three. One. Two.\nshort")]
+    out = quote_links.chat_digest(talk(spark, rows))
+    got = {(r.conv_id, r.part): r.asDict() for r in out.collect()}
+    with duckdb.connect() as db:
+        db.register("conversations", pa.table({"conv_id": [r[0] for r in rows if r[0] < 5], "turn": [r[1] for r in rows if r[0] < 5], "role": [r[2] for r in rows if r[0] < 5], "text": [r[3] for r in rows if r[0] < 5]}))
+        wanted = {(r["conv_id"], r["part"]): r for r in db.execute(sql.CHAT_QUOTES).to_arrow_table().to_pylist()}
+    assert {k: v for k, v in got.items() if k[0] < 5} == wanted and (1, 1) in wanted
+    assert sum(r["n_linked"] for r in wanted.values()) > 100 and sum(r["n_quotes"] - r["n_linked"] for r in wanted.values()) > 20
+    assert (got[5, 0]["n_quotes"], got[5, 0]["n_linked"], got[5, 0]["reply_order"]) == (2, 1, "0,1,2")
+
+
 def test_quote_edges(spark):
     rows = [(1, 0, None, None), (1, 0, None, None), (1, 1, "user", ""), (1, 2, "user", ">"), (None, 3, "user", "x"), (2, None, "user", "x"), (3, 7, "user", "> " * 500 + "deep"), (4, 0, "user", LONG)]
     df = talk(spark, rows).withColumns({c: F.lit("x") for c in ("own", "unit", "source", "n", "k")})

@@ -135,7 +135,7 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c::BIGINT AS component_id, vec
 _LEVEL = r"length(regexp_replace(regexp_extract({0}, '^[ \t]*(>[ \t]*)*'), '[^>]', '', 'g'))"
 _NORMAL = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
 
-#: Passages as islands of lines; links by the normalised text itself.
+#: Passages as islands of lines; links by the normalised text of every run of units of every message.
 CHAT_QUOTES = rf"""
 WITH m AS (SELECT conv_id, turn, (min(struct_pack(t := coalesce(text, ''), r := coalesce(role, 'user')))) AS x FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
 l AS (SELECT conv_id, turn, i, line, {_LEVEL.format("line")} AS lv, lead(line) OVER w AS nxt
@@ -148,15 +148,17 @@ g AS (SELECT *, sum(CASE WHEN lv = plv THEN 0 ELSE 1 END) OVER (PARTITION BY con
 p AS (SELECT conv_id, turn, isl, lv, {_NORMAL.format("string_agg(body, chr(10) ORDER BY i)")} AS u FROM g WHERE lv > 0 GROUP BY 1, 2, 3, 4),
 o AS (SELECT conv_id, turn, x.r AS role, CASE WHEN contains(x.t, '>') THEN regexp_replace(coalesce(q.own, ''), '^\n+|\n+$', '', 'g') ELSE x.t END AS own
       FROM m LEFT JOIN (SELECT conv_id, turn, string_agg(body, chr(10) ORDER BY i) AS own FROM k WHERE lv = 0 GROUP BY 1, 2) q USING (conv_id, turn)),
-un AS (SELECT DISTINCT conv_id, turn AS source, {_NORMAL.format("unit")} AS u
-       FROM (SELECT conv_id, turn, unnest(list_concat([own], string_split_regex(own, '\n[ \t]*\n'), string_split(own, chr(10)))) AS unit FROM o WHERE conv_id IN (SELECT conv_id FROM p))),
-f AS (SELECT p.conv_id, p.turn, p.isl, max(p.lv) AS lv, max(source) AS source FROM p LEFT JOIN un ON un.conv_id = p.conv_id AND un.u = p.u AND length(p.u) >= 12 AND un.source < p.turn GROUP BY 1, 2, 3),
+un AS (SELECT conv_id, turn AS source, list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(own, '([.!?…]["'')\]»”’]{{0,3}})[ \t\n\x0B\f\r]+', '\1' || chr(10), 'g'), '([。！？])', '\1' || chr(10), 'g'), '\r?\n'),
+       lambda y: {_NORMAL.format("y")}), lambda y: y <> '') AS us FROM o WHERE conv_id IN (SELECT conv_id FROM p WHERE u <> '')),
+ru AS (SELECT DISTINCT conv_id, source, array_to_string(us[a : b], ' ') AS u FROM (SELECT *, unnest(generate_series(a, len(us))) AS b FROM (SELECT *, unnest(generate_series(1, len(us))) AS a FROM un))),
+f AS (SELECT p.conv_id, p.turn, p.isl, max(p.lv) AS lv, max(source) AS source FROM p LEFT JOIN ru ON ru.conv_id = p.conv_id AND ru.u = p.u AND ru.source < p.turn GROUP BY 1, 2, 3),
 a AS (SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, arg_max(source, (-lv) * 1e12 + source) AS best FROM f GROUP BY 1, 2),
 r AS (SELECT o.conv_id, o.turn, o.role, o.own, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, coalesce(best, b.turn, -1) AS after
-      FROM o LEFT JOIN a USING (conv_id, turn) LEFT JOIN o b ON b.conv_id = o.conv_id AND b.turn = o.turn - 1)
-SELECT conv_id, (turn // 256)::BIGINT AS part, count(*)::BIGINT AS n_turns, sum(n_quotes)::BIGINT AS n_quotes, sum(n_linked)::BIGINT AS n_linked,
-       string_agg(turn, ',' ORDER BY after, turn) AS reply_order,
-       length(string_agg('<|' || role || '|>' || chr(10) || own, chr(10) ORDER BY after, turn))::BIGINT AS n_chars,
-       sha256(string_agg('<|' || role || '|>' || chr(10) || own, chr(10) ORDER BY after, turn)) AS chat_sha256
-FROM r GROUP BY 1, 2
+      FROM o LEFT JOIN a USING (conv_id, turn) LEFT JOIN o b ON b.conv_id = o.conv_id AND b.turn = o.turn - 1),
+z AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY after, turn) - 1 AS position FROM r)
+SELECT conv_id, (position // 256)::BIGINT AS part, count(*)::BIGINT AS n_turns, sum(n_quotes)::BIGINT AS n_quotes, sum(n_linked)::BIGINT AS n_linked,
+       string_agg(turn, ',' ORDER BY position) AS reply_order,
+       length(string_agg('<|' || role || '|>' || chr(10) || own, chr(10) ORDER BY position))::BIGINT AS n_chars,
+       sha256(string_agg('<|' || role || '|>' || chr(10) || own, chr(10) ORDER BY position)) AS chat_sha256
+FROM z GROUP BY 1, 2
 """
