@@ -56,6 +56,8 @@ SLICES = 2
 FREQUENT = 10_000
 #: Characters whose counts two near lines must nearly share; any would do, frequent ones reject most.
 COUNTED = ("e", "n", "t", "a", "i", "o", "r")
+#: Buckets of word hashes whose counts two lines near by words must nearly share; lines of more words than a count holds go without.
+BUCKETS, COUNTED_WORDS = 16, 255
 #: What a key row is to its line: its segment in its own class and a probe, a probe only, a segment only.
 BOTH, PROBE, SEGMENT = 0, 1, 2
 
@@ -176,6 +178,19 @@ def _within_words(a: Column, b: Column, words_an_edit: int) -> Column:
     return (budget > 0) & (F.abs(F.size(a) - F.size(b)) <= budget) & (F.size(F.array_except(a, b)) <= budget) & (F.size(F.array_except(b, a)) <= budget) & (distance >= 0)
 
 
+def bucket_counts(words: Column) -> Column:
+    """Two numbers with the counts of the words in BUCKETS buckets by hash, a byte each; null for long lines."""
+    one, half = F.lit(1).cast("bigint"), BUCKETS // 2
+    zero = F.struct(F.lit(0).cast("bigint").alias("b0"), F.lit(0).cast("bigint").alias("b1"))
+
+    def step(acc: Column, x: Column) -> Column:
+        added = F.call_function("shiftleft", one, 8 * (x % half))
+        return F.when(x < half, F.struct((acc["b0"] + added).alias("b0"), acc["b1"].alias("b1"))).otherwise(F.struct(acc["b0"].alias("b0"), (acc["b1"] + added).alias("b1")))
+
+    hashes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    return F.when(F.size(words) <= COUNTED_WORDS, F.aggregate(hashes, zero, step))
+
+
 def later_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS, short_chars: int = SHORT_CHARS, words_an_edit: int = WORDS_AN_EDIT) -> DataFrame:
     """(lid) of the lines that are near a line with an earlier first place.
 
@@ -194,22 +209,30 @@ def later_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int =
     shared = parts[0]
     for p in parts[1:]:
         shared = shared.unionByName(p)
-    facts = lines.select("lid", "by", "w", "len", "counts")
-    role = F.col("who").bitwiseAND(3)
-    placed = stored(shared.select("key", F.shiftright("who", 2).alias("lid"), role.alias("role")).join(facts, "lid"), "line_places")
+    keyed = shared.select("key", F.shiftright("who", 2).alias("lid"), F.col("who").bitwiseAND(3).alias("role"))
+    facts = stored(
+        lines.join(keyed.select("lid").distinct(), "lid", "left_semi")
+        .withColumn("b", bucket_counts(_words(F.col("line"))))
+        .select("lid", "first", "by", "w", "len", "counts", "b.b0", "b.b1", "line"),
+        "line_facts",
+    )
+    known = ("lid", "by", "w", "len", "counts", "b0", "b1")
+    placed = stored(keyed.join(facts.select(*known), "lid"), "line_places")
     byte = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(255)
-    gap = sum((F.abs(byte("counts", k) - byte("e_counts", k)) for k in range(len(COUNTED))), F.lit(0))
-    by_chars = (F.abs(F.col("len") - F.col("e_len")) <= max_edits) & (gap <= 2 * max_edits)
-    by_words = F.abs(F.col("w") - F.col("e_w")) <= word_budget(F.greatest("w", "e_w"), words_an_edit)
+    gap = lambda c, n: sum((F.abs(byte(c, k) - byte(f"e_{c}", k)) for k in range(n)), F.lit(0))
+    by_chars = (F.abs(F.col("len") - F.col("e_len")) <= max_edits) & (gap("counts", len(COUNTED)) <= 2 * max_edits)
+    budget = word_budget(F.greatest("w", "e_w"), words_an_edit)
+    # a changed word changes two counts by one
+    by_words = (F.abs(F.col("w") - F.col("e_w")) <= budget) & F.coalesce(gap("b0", BUCKETS // 2) + gap("b1", BUCKETS // 2) <= 2 * budget, F.lit(True))
     fits = (F.col("lid") != F.col("e_lid")) & (by_chars | by_words)
 
     def early(side: DataFrame) -> DataFrame:
-        return side.select("key", *(F.col(c).alias(f"e_{c}") for c in ("lid", "by", "w", "len", "counts")))
+        return side.select("key", *(F.col(c).alias(f"e_{c}") for c in known))
 
     def near(pairs: DataFrame, name: str) -> DataFrame:
         """The later lines of the candidates that are near."""
         found = stored(pairs.where(fits).select(F.least("lid", "e_lid").alias("a"), F.greatest("lid", "e_lid").alias("b")).distinct(), name)
-        of = lambda x: lines.select(F.col("lid").alias(x), F.col("first").alias(f"first_{x}"), F.col("line").alias(f"line_{x}"))
+        of = lambda x: facts.select(F.col("lid").alias(x), F.col("first").alias(f"first_{x}"), F.col("line").alias(f"line_{x}"))
         least = F.least(F.length("line_a"), F.length("line_b"))
         edits = F.levenshtein("line_a", "line_b", max_edits)
         alike = (edits >= 0) & (edits <= F.when(least >= near_chars, max_edits).when(least >= short_chars, 1).otherwise(0))
@@ -218,8 +241,8 @@ def later_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int =
         return stored(found.join(of("a"), "a").join(of("b"), "b").where(alike).select(late.alias("lid")).distinct(), name)
 
     segments, probes = placed.where(F.col("role") != PROBE), placed.where(F.col("role") != SEGMENT)
-    heads = placed.where(F.col("role") != PROBE).groupBy("key").agg(F.min(F.struct("by", "lid", "w", "len", "counts")).alias("head"), F.count("*").alias("segments"))
-    first = heads.select("key", *(F.col(f"head.{c}").alias(f"e_{c}") for c in ("lid", "by", "w", "len", "counts")))
+    heads = placed.where(F.col("role") != PROBE).groupBy("key").agg(F.min(F.struct("by", *(c for c in known if c != "by"))).alias("head"), F.count("*").alias("segments"))
+    first = heads.select("key", *(F.col(f"head.{c}").alias(f"e_{c}") for c in known))
     settled = near(probes.join(first, "key"), "line_heads")
     # what is left: pairs of which neither is the head of their key, so keys of two segments at least
     crowded = heads.where("segments > 1").select("key")
