@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from textloom.functions.text import bound
 from textloom.llm.common import stored
 
 MAX_EDITS = 2
@@ -56,10 +57,10 @@ SLICES = 2
 FREQUENT = 10_000
 #: Characters whose counts two near lines must nearly share; any would do, frequent ones reject most.
 COUNTED = ("e", "n", "t", "a", "i", "o", "r")
-#: Buckets of word hashes whose counts two lines near by words must nearly share; lines of more words than a count holds go without.
-BUCKETS, COUNTED_WORDS = 16, 255
-#: What a key row is to its line: its segment in its own class and a probe, a probe only, a segment only.
-BOTH, PROBE, SEGMENT = 0, 1, 2
+#: Buckets of word hashes whose counts two lines near by words must nearly share, and bits of a count.
+BUCKETS, COUNT_BITS = 60, 4
+#: What a key row is to its line, as bits: one of its segments, a probe, or both.
+SEGMENT, PROBE = 1, 2
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,7 +110,7 @@ def _key_rows(lines: DataFrame, kind: int, size: str, classes: Column, content:
     each = _div(F.col("low"), 1)
     segment = F.call_function("div", F.col("low"), F.col("k") + 1).cast("int")
     from_start, from_end = F.col("i") * segment, F.col(size) - (F.col("k") - F.col("i") + 1) * segment
-    role = F.when(~F.col("own"), SEGMENT).when(F.col("shift") == 0, BOTH).otherwise(PROBE)
+    role = F.when(~F.col("own"), SEGMENT).when(F.col("shift") == 0, SEGMENT + PROBE).otherwise(PROBE)
     return (
         lines.select("lid", size, content, F.explode(classes).alias("c"))
         .where(F.col("c.k") > 0)
@@ -179,16 +180,19 @@ def _within_words(a: Column, b: Column, words_an_edit: int) -> Column:
 
 
 def bucket_counts(words: Column) -> Column:
-    """Two numbers with the counts of the words in BUCKETS buckets by hash, a byte each; null for long lines."""
-    one, half = F.lit(1).cast("bigint"), BUCKETS // 2
-    zero = F.struct(F.lit(0).cast("bigint").alias("b0"), F.lit(0).cast("bigint").alias("b1"))
+    """Four numbers with the counts of the words in BUCKETS buckets by hash; counts end at what COUNT_BITS hold."""
+    each, most = BUCKETS // 4, (1 << COUNT_BITS) - 1
 
-    def step(acc: Column, x: Column) -> Column:
-        added = F.call_function("shiftleft", one, 8 * (x % half))
-        return F.when(x < half, F.struct((acc["b0"] + added).alias("b0"), acc["b1"].alias("b1"))).otherwise(F.struct(acc["b0"].alias("b0"), (acc["b1"] + added).alias("b1")))
+    def add(acc: Column, x: Column) -> Column:
+        place = x % each * COUNT_BITS
+        full = F.call_function("shiftright", acc, place).bitwiseAND(most) == most
+        return F.when(full, acc).otherwise(acc + F.call_function("shiftleft", F.lit(1).cast("bigint"), place))
 
-    hashes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    return F.when(F.size(words) <= COUNTED_WORDS, F.aggregate(hashes, zero, step))
+    def of(hashes: Column) -> Column:
+        part = lambda k: F.filter(hashes, lambda x: _div(x, each) == k)
+        return F.array(*(F.aggregate(part(k), F.lit(0).cast("bigint"), add) for k in range(4)))
+
+    return bound(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), of)
 
 
 def later_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS, short_chars: int = SHORT_CHARS, words_an_edit: int = WORDS_AN_EDIT) -> DataFrame:
@@ -209,21 +213,23 @@ def later_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int =
     shared = parts[0]
     for p in parts[1:]:
         shared = shared.unionByName(p)
-    keyed = shared.select("key", F.shiftright("who", 2).alias("lid"), F.col("who").bitwiseAND(3).alias("role"))
+    # a line that repeats itself has a key at several places
+    keyed = shared.groupBy("key", F.shiftright("who", 2).alias("lid")).agg(F.bit_or(F.col("who").bitwiseAND(3)).alias("role"))
     facts = stored(
         lines.join(keyed.select("lid").distinct(), "lid", "left_semi")
         .withColumn("b", bucket_counts(_words(F.col("line"))))
-        .select("lid", "first", "by", "w", "len", "counts", "b.b0", "b.b1", "line"),
+        .select("lid", "first", "by", "w", "len", "counts", *(F.get("b", F.lit(k)).alias(f"b{k}") for k in range(4)), "line"),
         "line_facts",
     )
-    known = ("lid", "by", "w", "len", "counts", "b0", "b1")
+    known = ("lid", "by", "w", "len", "counts", "b0", "b1", "b2", "b3")
     placed = stored(keyed.join(facts.select(*known), "lid"), "line_places")
-    byte = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(255)
-    gap = lambda c, n: sum((F.abs(byte(c, k) - byte(f"e_{c}", k)) for k in range(n)), F.lit(0))
-    by_chars = (F.abs(F.col("len") - F.col("e_len")) <= max_edits) & (gap("counts", len(COUNTED)) <= 2 * max_edits)
+    part_of = lambda c, k, bits: F.shiftright(c, bits * k).bitwiseAND((1 << bits) - 1)
+    gap = lambda c, n, bits: sum((F.abs(part_of(c, k, bits) - part_of(f"e_{c}", k, bits)) for k in range(n)), F.lit(0))
+    by_chars = (F.abs(F.col("len") - F.col("e_len")) <= max_edits) & (gap("counts", len(COUNTED), 8) <= 2 * max_edits)
     budget = word_budget(F.greatest("w", "e_w"), words_an_edit)
-    # a changed word changes two counts by one
-    by_words = (F.abs(F.col("w") - F.col("e_w")) <= budget) & F.coalesce(gap("b0", BUCKETS // 2) + gap("b1", BUCKETS // 2) <= 2 * budget, F.lit(True))
+    # a changed word changes two counts by one; most pairs end at the first of the four
+    first_gap, all_gaps = gap("b0", BUCKETS // 4, COUNT_BITS), sum((gap(f"b{k}", BUCKETS // 4, COUNT_BITS) for k in range(4)), F.lit(0))
+    by_words = (F.abs(F.col("w") - F.col("e_w")) <= budget) & (first_gap <= 2 * budget) & (all_gaps <= 2 * budget)
     fits = (F.col("lid") != F.col("e_lid")) & (by_chars | by_words)
 
     def early(side: DataFrame) -> DataFrame:
@@ -240,8 +246,8 @@ def later_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int =
         late = F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b"))
         return stored(found.join(of("a"), "a").join(of("b"), "b").where(alike).select(late.alias("lid")).distinct(), name)
 
-    segments, probes = placed.where(F.col("role") != PROBE), placed.where(F.col("role") != SEGMENT)
-    heads = placed.where(F.col("role") != PROBE).groupBy("key").agg(F.min(F.struct("by", *(c for c in known if c != "by"))).alias("head"), F.count("*").alias("segments"))
+    segments, probes = (placed.where(F.col("role").bitwiseAND(bit) != 0) for bit in (SEGMENT, PROBE))
+    heads = segments.groupBy("key").agg(F.min(F.struct("by", *(c for c in known if c != "by"))).alias("head"), F.count("*").alias("segments"))
     first = heads.select("key", *(F.col(f"head.{c}").alias(f"e_{c}") for c in known))
     settled = near(probes.join(first, "key"), "line_heads")
     # what is left: pairs of which neither is the head of their key, so keys of two segments at least
