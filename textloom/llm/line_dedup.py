@@ -36,6 +36,7 @@ same result; a null id sorts before all others; other input columns pass through
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame
@@ -88,16 +89,13 @@ def word_budget(n: Column, words_an_edit: int = WORDS_AN_EDIT) -> Column:
 
 def _width(n: Column) -> Column:
     """How many lengths the class of length n holds: an eighth to a quarter of n, or half of it below 20."""
-    # comparisons end at once for nearly all lines; no line has 2^31 units
-    out = F.when(n < 10, 1).when(n < 40, 5)
-    for octave in range(2, 27):
-        out = out.when(n < 20 << octave, 5 << (octave - 1))
-    return out.otherwise(5 << 26)
+    octave = F.length(F.bin(_div(n, 10))) - 1
+    return F.when(n < 10, 1).otherwise(F.call_function("shiftleft", F.lit(5), F.greatest(octave - 1, F.lit(0))))
 
 
-def _class(n: Column, budget: Column, own: bool) -> Column:
-    """The class of length n as struct: low (its least length), k (its budget), own."""
-    return F.struct((n - n % _width(n)).alias("low"), budget.alias("k"), F.lit(own).alias("own"))
+def _class(n: Column, own: Column, budget: Callable[[Column], Column]) -> Column:
+    """The class of length n as struct: low (its least length), k (the budget by its greatest length), own."""
+    return bound(n, lambda x: bound(_width(x), lambda w: F.struct((x - x % w).alias("low"), budget(x - x % w + w - 1).alias("k"), own.alias("own"))))
 
 
 def _key_rows(lines: DataFrame, kind: int, size: str, classes: Column, content: str, cut, part: int) -> DataFrame:
@@ -122,32 +120,24 @@ def _key_rows(lines: DataFrame, kind: int, size: str, classes: Column, content:
     )
 
 
-def word_classes(n: Column, words_an_edit: int = WORDS_AN_EDIT) -> Column:
-    """The classes that a line of n words has keys in, its own first; none if it is too short."""
+def _classes(lengths: Column, budget: Callable[[Column], Column]) -> Column:
+    """The classes of falling lengths, each once; the first is the line's own."""
+    each = F.transform(lengths, lambda n, i: _class(n, i == 0, budget))
+    return bound(each, lambda c: F.filter(c, lambda x, i: (i == 0) | (x["low"] != F.get(c, F.greatest(i - 1, F.lit(0)))["low"])))
 
-    def of(n: Column, own: bool) -> Column:
-        most = n - n % _width(n) + _width(n) - 1
-        # a longer line of n words within the budget of a shorter one of m: n - n / words_an_edit <= m
-        return _class(n, word_budget(F.call_function("div", most * words_an_edit, F.lit(words_an_edit - 1)).cast("int") + 1, words_an_edit), own)
 
-    least = n - word_budget(n, words_an_edit)
-    lower = F.when(least - least % _width(least) != n - n % _width(n), of(least, False))
-    return F.when(n >= words_an_edit - 1, F.array_compact(F.array(of(n, True), lower)))
+def word_classes(n: Column, words_an_edit: int = WORDS_AN_EDIT) -> Column:
+    """The classes that a line of n words has keys in, its own first; none if it is too short."""
+    # a longer line of n words within the budget of a shorter one of m: n - n / words_an_edit <= m
+    budget = lambda m: word_budget(F.call_function("div", m * words_an_edit, F.lit(words_an_edit - 1)).cast("int") + 1, words_an_edit)
+    return F.when(n >= words_an_edit - 1, _classes(F.array(n, n - word_budget(n, words_an_edit)), budget))
 
 
 def char_classes(n: Column, max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS, short_chars: int = SHORT_CHARS) -> Column:
     """The classes that a line of n characters has keys in, its own first; none if it is too short."""
-
-    def of(n: Column, own: bool) -> Column:
-        most = n - n % _width(n) + _width(n) - 1
-        return _class(n, F.when(most >= near_chars, max_edits).when(most >= short_chars, 1).otherwise(0), own)
-
-    def lower(j: int) -> Column:
-        # the class of a line shorter by j, if it begins there
-        m = F.greatest(n - j, F.lit(0))
-        return F.when(m - m % _width(m) != (m + 1) - (m + 1) % _width(m + 1), of(m, False))
-
-    return F.when(n >= min(near_chars, short_chars), F.array_compact(F.array(of(n, True), *(lower(j) for j in range(1, max_edits + 1)))))
+    budget = lambda m: F.when(m >= near_chars, max_edits).when(m >= short_chars, 1).otherwise(0)
+    shorter = F.transform(F.sequence(F.lit(0), F.lit(max_edits)), lambda j: F.greatest(n - j, F.lit(0)))
+    return F.when(n >= min(near_chars, short_chars), _classes(shorter, budget))
 
 
 def _by_words(lines: DataFrame, part: int) -> DataFrame:
@@ -223,12 +213,13 @@ def later_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int =
     )
     known = ("lid", "by", "w", "len", "counts", "b0", "b1", "b2", "b3")
     placed = stored(keyed.join(facts.select(*known), "lid"), "line_places")
-    part_of = lambda c, k, bits: F.shiftright(c, bits * k).bitwiseAND((1 << bits) - 1)
-    gap = lambda c, n, bits: sum((F.abs(part_of(c, k, bits) - part_of(f"e_{c}", k, bits)) for k in range(n)), F.lit(0))
-    by_chars = (F.abs(F.col("len") - F.col("e_len")) <= max_edits) & (gap("counts", len(COUNTED), 8) <= 2 * max_edits)
+    # as text: a column a term would take the driver longer than the join
+    part_of = lambda c, k, bits: f"(shiftright({c}, {bits * k}) & {(1 << bits) - 1})"
+    gap = lambda c, n, bits: " + ".join(f"abs({part_of(c, k, bits)} - {part_of(f'e_{c}', k, bits)})" for k in range(n))
+    by_chars = (F.abs(F.col("len") - F.col("e_len")) <= max_edits) & (F.expr(gap("counts", len(COUNTED), 8)) <= 2 * max_edits)
     budget = word_budget(F.greatest("w", "e_w"), words_an_edit)
     # a changed word changes two counts by one; most pairs end at the first of the four
-    first_gap, all_gaps = gap("b0", BUCKETS // 4, COUNT_BITS), sum((gap(f"b{k}", BUCKETS // 4, COUNT_BITS) for k in range(4)), F.lit(0))
+    first_gap, all_gaps = F.expr(gap("b0", BUCKETS // 4, COUNT_BITS)), F.expr(" + ".join(gap(f"b{k}", BUCKETS // 4, COUNT_BITS) for k in range(4)))
     by_words = (F.abs(F.col("w") - F.col("e_w")) <= budget) & (first_gap <= 2 * budget) & (all_gaps <= 2 * budget)
     fits = (F.col("lid") != F.col("e_lid")) & (by_chars | by_words)
 
