@@ -91,14 +91,18 @@ def cache_stats(texts: DataFrame, cache: DataFrame, model: str, text_col: str =
     )
 
 
-def encode_cached(texts: DataFrame, path: str, model: str, encoder: Encoder = hashed_encoder, text_col: str = "text", on_progress: Callable[[int], None] | None = None) -> DataFrame:
+def encode_cached(texts: DataFrame, path: str, model: str, encoder: Encoder = hashed_encoder, text_col: str = "text", on_progress: Callable[[int], None] | None = None, slices: int = 16) -> DataFrame:
     """The rows of texts with their embeddings; only texts not yet cached are encoded.
 
-    New vectors are appended per task, so work done is kept if a later task fails."""
+    The texts to encode are taken in slices by hash of their key, each appended by a write of
+    its own: when one fails, those before it are kept and a second call takes up from there.
+    on_progress hears after each slice how many vectors the cache holds."""
     spark = texts.sparkSession
-    new = encode(misses(texts, load_cache(spark, path, model), model, text_col), "text", encoder).select("key", "embedding")
-    new.write.mode("append").parquet(f"{path}/{slug(model)}")
+    for k in range(slices):
+        own = texts.where(F.pmod(F.xxhash64(content_key(F.col(text_col))), F.lit(slices)) == k)
+        new = encode(misses(own, load_cache(spark, path, model), model, text_col), "text", encoder).select("key", "embedding")
+        new.write.mode("append").parquet(f"{path}/{slug(model)}")
+        if on_progress:
+            on_progress(load_cache(spark, path, model).count())
     cache = load_cache(spark, path, model).select("key", "embedding").dropDuplicates(["key"])
-    if on_progress:
-        on_progress(cache.count())
     return texts.withColumn("_key", content_key(F.col(text_col))).join(cache.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as t
-from textloom.operators import answers, chunking, corpus, embedding, evaluate, extract, quality, search, sections
+from textloom.operators import answers, chunking, corpus, embedding, evaluate, extract, quality, reports, search, sections
 from textloom.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,9 +88,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that hold an item word for word. The items are the stated query set."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(items, F.contains("text", "item")).select("query_id", "doc_id")
+    """The documents that hold an item word for word. The items are the stated query set.
+
+    A document that holds an item holds its inner tokens, so candidates come from a join on
+    the longest of them; items of fewer than three tokens, if any, are compared with all."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), t.search_tokens(F.col("text")).alias("tokens"))
+    inner = F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 2, F.lit(0)))
+    keyed = items.select("query_id", "item", F.element_at(F.array_sort(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("token")))), 1)["token"].alias("token"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = docs.select("doc_id", "text", F.explode(F.array_distinct(t.search_tokens(F.col("text")))).alias("token")).join(keyed.where("token IS NOT NULL"), "token")
+    short = docs.join(keyed.where("token IS NULL"), F.contains("text", "item"))
+    return held.where(F.contains("text", "item")).select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id"))
 
 
 def retrieval(spark: SparkSession, sf_dir: str) -> search.Retrieval:
@@ -450,7 +458,7 @@ def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Benchmark items as questions about the documents of the same source number; languages as sections.
 SQL_REMAP = f"""
-q AS (SELECT item_id AS id, 'src' || (item_id % 22) AS gold_doc_id, (['en', 'fr', 'xx'])[(item_id % 3 + 1)::INTEGER] AS gold_section, 'none' AS gold_chunk_id, {SQL_TERMS.format("text", SQL_REMAP_STOP)} AS a, {SQL_TERMS.format("left(text, 60)", SQL_REMAP_STOP)} AS qt FROM benchmark),
+q AS (SELECT item_id AS id, 'src' || (item_id % 22) AS gold_doc_id, (['en', 'fr', 'xx'])[(item_id % 3 + 1)::INTEGER] AS gold_section, 'none' AS gold_chunk_id, {SQL_TERMS.format("text", SQL_REMAP_STOP)} AS a, {SQL_TERMS.format("text", SQL_REMAP_STOP)} AS qt FROM benchmark),
 c AS (SELECT source AS gold_doc_id, doc_id::VARCHAR AS chunk_id, lang AS section, doc_id AS pos, {SQL_TERMS.format("text", SQL_REMAP_STOP)} AS ct FROM documents),
 s AS (SELECT id, gold_section, chunk_id, section, pos, len(list_intersect(a, ct)) / len(a) + 0.25 * coalesce(len(list_intersect(qt, ct)) / nullif(len(qt), 0), 0) AS score FROM q JOIN c USING (gold_doc_id) WHERE len(a) > 0),
 any_ AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, pos) = 1),
@@ -460,7 +468,7 @@ own AS (SELECT * FROM s WHERE score > 0 AND section = gold_section QUALIFY row_n
 def remap_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, sf_dir, "benchmark")
     section = F.get(F.array(*(F.lit(x) for x in ("en", "fr", "xx"))), (F.col("item_id") % 3).cast("int"))
-    asked = items.select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("query"), F.col("text").alias("reference_answer"), F.concat(F.lit("src"), (F.col("item_id") % 22).cast("string")).alias("gold_doc_id"), section.alias("gold_section"), F.lit("none").alias("gold_chunk_id"))
+    asked = items.select(F.col("item_id").alias("id"), F.col("text").alias("query"), F.col("text").alias("reference_answer"), F.concat(F.lit("src"), (F.col("item_id") % 22).cast("string")).alias("gold_doc_id"), section.alias("gold_section"), F.lit("none").alias("gold_chunk_id"))
     chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("section"), F.col("doc_id").alias("pos"), "text")
     return asked, chunks
 
@@ -496,6 +504,18 @@ def latest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.cap_per_group(rows, "o_custkey", [F.col("o_orderdate").desc(), "o_orderkey"], 2).drop("o_orderdate")
 
 
+@query(
+    """SELECT o_custkey AS cik, (row_number() OVER w - 1)::INTEGER AS pos, o_orderdate AS filing_date, o_orderkey AS accession FROM orders WHERE o_orderstatus = 'F'
+    WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) QUALIFY row_number() OVER w <= 2"""
+)
+def latest_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as filings of their customer in parallel arrays, newest first; the status is the form."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))).alias("newest"), "o_orderkey", "o_orderdate", "o_orderstatus")))
+    each = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cik")).agg(rows.alias("x"))
+    arrays = each.select("cik", F.col("x.o_orderstatus").alias("form"), F.col("x.o_orderdate").alias("filingDate"), F.col("x.o_orderkey").alias("accessionNumber"), F.col("x.o_orderkey").alias("primaryDocument"))
+    return corpus.latest_filings(arrays, "F", 2).select("cik", "pos", F.col("filingDate").alias("filing_date"), F.col("accessionNumber").alias("accession"))
+
+
 @query(
     """WITH g AS (SELECT DISTINCT source FROM documents WHERE doc_id % 97 = 0), k AS (SELECT doc_id FROM documents WHERE source IN (SELECT source FROM g)),
     o AS (SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM g) ORDER BY sha256('42|' || doc_id) LIMIT (SELECT greatest(0, 800 - count(*)) FROM k)) SELECT doc_id FROM k UNION ALL SELECT doc_id FROM o"""
@@ -538,6 +558,47 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.snippet(F.col("text")).alias("snippet"))
 
 
+# --- chunk statistics and reports -----------------------------------------------------------
+
+
+@query(
+    r"""WITH c AS (SELECT source, lang, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL)
+    SELECT count(DISTINCT source)::BIGINT AS documents, count(DISTINCT (source, lang))::BIGINT AS sections, count(*)::BIGINT AS chunks, min(w)::BIGINT AS min_words, max(w)::BIGINT AS max_words, round(avg(w), 6) AS mean_words FROM c"""
+)
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = texts(spark, sf_dir, "source", "lang").where("text IS NOT NULL").select(F.col("source").alias("doc_id"), F.col("lang").alias("section"), t.n_words(F.col("text")).cast("bigint").alias("word_count"))
+    return rounded(chunking.corpus_stats(chunks))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, text, '| a | b |' || chr(10) || '| 1 | 2 |' AS tab, trim(regexp_replace(text, '\\s', '', 'g')) = '' AS blank FROM documents WHERE text IS NOT NULL AND NOT starts_with(text, '|') AND NOT contains(text, chr(10) || '|'))
+    SELECT doc_id, CASE WHEN blank THEN 1 ELSE 3 END::INTEGER AS n_blocks, CASE WHEN blank THEN 'table' ELSE 'prose,table,prose' END AS kinds,
+           sha256(CASE WHEN blank THEN tab ELSE text || chr(1) || tab || chr(1) || text END) AS bodies_sha256 FROM d"""
+)
+def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text without table rows before and after a table."""
+    docs = texts(spark, sf_dir).where(~F.col("text").startswith("|") & ~F.col("text").contains("\n|"))
+    blocks = docs.select("doc_id", chunking.split_blocks(F.concat("text", F.lit("\n| a | b |\n| 1 | 2 |\n"), "text")).alias("b"))
+    return blocks.select("doc_id", F.size("b").alias("n_blocks"), F.array_join("b.kind", ",").alias("kinds"), t.content_key(F.array_join("b.body", "\x01")).alias("bodies_sha256"))
+
+
+@query(
+    """SELECT doc_id, sha256('fine print: ' || doc_id || ' 2 km HIJ') AS text_sha256 FROM documents WHERE text IS NOT NULL"""
+)
+def nfkc_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of ligatures, wide and circled characters about each document, through the whole cleaning, NFKC included."""
+    docs = texts(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.concat(F.lit("ﬁne print： "), F.col("doc_id").cast("string"), F.lit(" ② ㎞ ＨＩＪ")).alias("text"))
+    return t.normalise_documents(docs).select("doc_id", t.content_key(F.col("text")).alias("text_sha256"))
+
+
+@query(
+    f"""WITH {SQL_CITED.strip()} SELECT CASE WHEN refused THEN 'refused' WHEN len(c) > 0 THEN 'cited' ELSE 'UNGROUNDED' END AS faithfulness_flag, count(*)::BIGINT AS n, round(avg((turn % 3 = 0)::INTEGER), 6) AS hit_at_k FROM y GROUP BY 1"""
+)
+def generation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as generated answers; every third counts as a retrieval hit."""
+    return rounded(reports.generation_report(annotated(spark, sf_dir).withColumn("retrieval_hit_at_k", F.col("turn") % 3 == 0)))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -33,7 +33,7 @@ SMALL_INPUT = 256 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """A small table dealt out to all cores for work that is heavy a row; a larger one has row groups enough and stays as it is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
 
 

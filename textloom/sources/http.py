@@ -80,17 +80,12 @@ class _Rows(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
         self.rows: list[list[list[str]]] = []
-        self.links: list[list[str | None]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "tr":
             self.rows.append([])
-            self.links.append([])
-        elif tag in ("td", "th") and self.rows:
+        elif tag == "td" and self.rows:
             self.rows[-1].append([])
-            self.links[-1].append(None)
-        elif tag == "a" and self.rows and self.rows[-1]:
-            self.links[-1][-1] = dict(attrs).get("href")
 
     def handle_data(self, data: str) -> None:
         if self.rows and self.rows[-1]:
