@@ -68,24 +68,42 @@ FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 """
 
 
-def line_dedup_sql(max_edits: int = 2, near_chars: int = 40) -> str:
-    """Every pair of near-equal length whose letter counts allow it, by full edit distance.
+def line_dedup_sql(max_edits: int = 2, near_chars: int = 40, short_chars: int = 20, words_an_edit: int = 10) -> str:
+    """Edits of characters by every pair whose letter counts allow it; edits of words by a full banded table.
 
     DuckDB's distance works on bytes, so the few non-ASCII letters become single bytes first;
-    lengths and counts only leave out pairs that cannot be within max_edits edits."""
+    lengths and counts only leave out pairs that cannot be within max_edits edits. Lines within
+    their budget of words (of ten words at least) have five words in a row in common."""
     letters = "éèêàâçñóíáúüäößÉÈÊÀÂÇÑÓÍÁÚÜÄÖ"
     single = "".join(f"chr({k})" + " || " * (k < len(letters) + 1) for k in [*range(2, len(letters) + 2)])
     counted = "etanorishl,. "
     counts = ", ".join(f"len(t) - len(replace(t, '{c}', '')) AS c{k}" for k, c in enumerate(counted))
     close = " + ".join(f"abs(a.c{k} - b.c{k})" for k in range(len(counted)))
+    # the table's row of word i as a band: at place d stands the distance to the first i - k + d words of the other line
+    j = "u[1] - k + v[1]"
+    cell = (
+        "least(CASE WHEN v[1] < 2 * k THEN acc[v[1] + 2] + 1 ELSE 1000000 END, CASE WHEN v[1] > 0 THEN done[v[1]] + 1 ELSE 1000000 END, "
+        f"CASE WHEN {j} BETWEEN 1 AND len(y) THEN acc[v[1] + 1] + (x[u[1]] <> y[{j}])::INTEGER ELSE 1000000 END)"
+    )
+    cell = f"CASE WHEN {j} = 0 THEN u[1] WHEN {j} < 0 OR {j} > len(y) THEN 1000000 ELSE {cell} END"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT rid, doc_id, no - 1 AS no, line FROM (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM d) WHERE trim(line, ' ') <> ''),
 f AS (SELECT line, min(struct_pack(d := doc_id, n := no)) AS first FROM l GROUP BY line),
-t AS (SELECT line, first, length(line) AS n, translate(line, '{letters}', {single}) AS t FROM f WHERE length(line) >= {near_chars}),
+t AS (SELECT line, first, length(line) AS n, translate(line, '{letters}', {single}) AS t FROM f WHERE length(line) >= {min(short_chars, near_chars)}),
 s AS (SELECT *, {counts} FROM t),
-near AS (SELECT DISTINCT a.line FROM s a JOIN s b ON b.n BETWEEN a.n - {max_edits} AND a.n + {max_edits} AND {close} <= {2 * max_edits} AND a.first > b.first
-         WHERE levenshtein(a.t, b.t) <= {max_edits}),
+chars AS (SELECT DISTINCT a.line FROM s a JOIN s b ON b.n BETWEEN a.n - {max_edits} AND a.n + {max_edits} AND {close} <= {2 * max_edits} AND a.first > b.first
+         WHERE levenshtein(a.t, b.t) <= CASE WHEN least(a.n, b.n) >= {near_chars} THEN {max_edits} ELSE 1 END),
+w AS (SELECT row_number() OVER () AS k, line, first, w, len(w) AS n FROM (SELECT line, first, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM f) WHERE len(w) >= {words_an_edit - 1}),
+g AS (SELECT DISTINCT k, first, n, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT k, first, n, w, unnest(generate_series(1, n - 4)) AS i FROM w)),
+p AS (SELECT DISTINCT a.k AS a, b.k AS b, least(greatest(a.n, b.n) // {words_an_edit}, floor(sqrt(greatest(a.n, b.n))))::INTEGER AS k FROM g a JOIN g b ON a.g = b.g AND a.first > b.first
+      WHERE abs(a.n - b.n) <= least(greatest(a.n, b.n) // {words_an_edit}, floor(sqrt(greatest(a.n, b.n))))),
+e AS (SELECT p.a, wa.line, wa.w AS x, wb.w AS y, p.k FROM p JOIN w wa ON wa.k = p.a JOIN w wb ON wb.k = p.b
+      WHERE len(list_filter(list_distinct(wa.w), lambda v: NOT list_contains(wb.w, v))) <= p.k AND len(list_filter(list_distinct(wb.w), lambda v: NOT list_contains(wa.w, v))) <= p.k),
+words AS (SELECT DISTINCT line FROM (SELECT line, x, y, k, list_reduce(list_transform(generate_series(1, len(x)), lambda i: [i::INTEGER]),
+      lambda acc, u: list_reduce(list_transform(generate_series(0, 2 * k), lambda z: [z::INTEGER]), lambda done, v: list_append(done, {cell}), []::INTEGER[]),
+      list_transform(generate_series(0, 2 * k), lambda v: CASE WHEN v >= k THEN (v - k)::INTEGER ELSE 1000000 END)) AS last FROM e) WHERE last[len(y) - len(x) + k + 1] <= k),
+near AS (SELECT line FROM chars UNION SELECT line FROM words),
 lost AS (SELECT rid, l.no FROM l JOIN f USING (line) WHERE struct_pack(d := l.doc_id, n := l.no) <> f.first OR l.line IN (SELECT line FROM near)),
 per AS (SELECT rid, count(*) AS n_dropped, string_agg(no, ',' ORDER BY no) AS dropped FROM lost GROUP BY rid),
 n AS (SELECT rid, count(*) AS n_lines FROM l GROUP BY rid)
