@@ -1,7 +1,9 @@
 """Language ID by interpolated Kneser-Ney character models, one per language.
 
 A model is fitted on a bounded sample of labelled rows: per language about SAMPLE_DOCS
-documents and SAMPLE_CHARS characters, drawn by a hash of the id (whole texts). Each model
+documents and SAMPLE_CHARS characters, TOTAL_CHARS at most in all, drawn by a hash of the id
+and the text (whole texts, none longer than its language's share; where all are, the shortest).
+Every language has one text at least. Each model
 is a few sorted arrays of n-gram hashes with their log probabilities and back-off weights. A text is scored whole:
 its n-grams are hashed in vectors, the distinct ones looked up by binary search, and the
 language with the least cross-entropy per character wins. Rejection is calibrated on a part
@@ -32,8 +34,12 @@ from textloom.llm.common import map_batches
 ORDER = 4
 #: Bounds of the labelled sample, per language.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1_500_000
+#: Characters of all languages' samples together, which the driver holds.
+TOTAL_CHARS = 100_000_000
 #: Learned languages at most.
 MAX_LANGUAGES = 500
+#: The hash that draws texts is taken modulo this.
+DRAWN = 1_000_000
 #: Nats per character above a language's own mean below which no text is rejected: passages in
 #: another language, keys or addresses inside a text raise its cross-entropy by less.
 MARGIN = 1.5
@@ -222,9 +228,15 @@ def fit_recogniser(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return train([])
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, SAMPLE_DOCS / r["n"], SAMPLE_CHARS / max(1, r["chars"])))])
-    drawn = F.pmod(F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col)), F.lit(1_000_000)) / 1_000_000 < F.element_at(share, F.col(lang_col))
-    return train([(r[0], r[1]) for r in labelled.where(drawn).select(lang_col, text_col).collect()])
+    most = min(SAMPLE_CHARS, TOTAL_CHARS // len(sizes))
+    size, place = F.length(text_col), F.pmod(F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col)), F.lit(DRAWN))
+    # the first in this order is always drawn
+    order = F.struct((size > most).alias("long"), F.when(size > most, size).otherwise(0).alias("size"), place.alias("place"))
+    first = labelled.groupBy(lang_col).agg(F.min(order).alias("first")).select(F.col(lang_col).alias("of"), "first")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, SAMPLE_DOCS / r["n"], most / max(1, r["chars"])))])
+    some = (size <= most) & (place / DRAWN < F.element_at(share, F.col(lang_col)))
+    drawn = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), some.alias("some"), order.alias("order")).join(F.broadcast(first), F.col("lang") == F.col("of"))
+    return train([(r[0], r[1]) for r in drawn.where(F.col("some") | (F.col("order") == F.col("first"))).select("lang", "text").collect()])
 
 
 def predict(df: DataFrame, recogniser: Recogniser, id_col: str = "doc_id", text_col: str = "text", passed: list[str] | None = None) -> DataFrame:
