@@ -143,6 +143,49 @@ def test_secret_edges(spark, edge, empty):
 SPANISH, GERMAN = "el perro corre por la casa grande con una pelota roja y luego duerme", "der hund rennt durch das große haus mit einem roten ball und schläft"
 
 
+def plain_kneser_ney(texts, order):
+    """ln P of the last character of a tuple, by dictionaries and recursion."""
+    counts = [None] * (order + 1)
+    counts[order] = {}
+    for t in texts:
+        for i in range(len(t) - order + 1):
+            counts[order][tuple(t[i : i + order])] = counts[order].get(tuple(t[i : i + order]), 0) + 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(counts[1]) + 1)
+        once, twice = (sum(c == n for c in counts[k].values()) for n in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        beside = [c for g, c in counts[k].items() if g[:-1] == gram[:-1]]
+        if not beside:
+            return p(gram[1:])
+        return max(counts[k].get(gram, 0) - d, 0) / sum(beside) + d * len(beside) / sum(beside) * p(gram[1:])
+
+    return lambda gram: np.log(p(gram))
+
+
+def test_models_equal_plain_kneser_ney():
+    rng = random.Random(4)
+    texts = [language_id.padded(np.array([rng.choice([97, 98, 98, 99, 32, 100 + i % 3]) for i in range(rng.randint(1, 60))], np.uint32), 3) for _ in range(12)]
+    model, plain = language_id.fit(texts, 3), plain_kneser_ney([t.tolist() for t in texts], 3)
+    grams = [tuple(rng.choice([1, 32, 97, 98, 99, 100, 101, 102, 120]) for _ in range(3)) for _ in range(300)]
+    got = language_id.log_probabilities(model, [np.array(c, np.uint32) for c in zip(*grams, strict=True)])
+    assert np.allclose(got, [plain(g) for g in grams], atol=1e-9)
+
+
+def test_languages_of_few_or_long_texts_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 3000)
+    rows = [tuple(r) for r in labelled(spark).collect()] + [(100 + i, ("le chien court dans la grande maison avec une balle rouge " * 400)[: 9000 + 500 * i], "fr") for i in range(4)]
+    found = language_id.fit_recogniser(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert found.langs == ["de", "es", "fr"]
+    assert "fr" in {r.lang_pred for r in language_id.predict(spark.createDataFrame([(1, "le chien court avec une balle")], "doc_id long, text string"), found).collect()}
+
+
 def labelled(spark, n=80):
     rng = random.Random(2)
     rows = []
@@ -224,6 +267,13 @@ def test_any_text_counts_as_the_library(text):
     assert token_count.counts(VOCABULARY).count(text) == len(library_once().encode(text, add_special_tokens=False).ids)
 
 
+def test_other_scripts_take_the_fast_path():
+    counts, tok = token_count.Counts(VOCABULARY), library()
+    texts = ["Съешь же ещё этих мягких французских булок 12", "Ελληνικά και “αγγλικά” — ναι…", "日本語の文章です。そして、これも。１２３", "नमस्ते दुनिया ४५", "שלום עולם", "ภาษาไทย ๑๒", "한국어 문장입니다", "it’s 5 € – fine"]
+    assert [counts.count(t) for t in texts] == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(counts.seen) > 80 and all(counts.seen.values())
+
+
 _library = []
 
 

@@ -23,7 +23,7 @@ from textloom.llm.common import map_batches
 
 #: The pre-tokenisation pattern of byte-level BPE.
 PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters on whose classes the pattern above and the library are tested to agree.
+#: Characters beyond those on whose classes the pattern above and the library are tested to agree.
 BEYOND_TESTED = regex.compile(r"[^\x00-ɏ]")
 #: Distinct merged pre-tokens that a worker remembers before it starts afresh.
 REMEMBERED = 400_000
@@ -47,6 +47,7 @@ class Counts(dict):
         self.between = regex.compile("|".join(regex.escape(s) for s in self.specials)) if self.specials else None
         self.proved = self.prove()
         self.update(self.proved)
+        self.seen: dict[str, bool] = {}
 
     def merged(self, pretoken: str) -> int:
         return len(self.tokenizer.model.tokenize("".join(self.letters[b] for b in pretoken.encode())))
@@ -64,6 +65,14 @@ class Counts(dict):
                 found[text] = 1
         return found
 
+    def agrees(self, c: str) -> bool:
+        """Whether the library cuts as the pattern does beside a character: letters join letters, and so on."""
+        if c not in self.seen:
+            probe = f"a{c}a1{c}1.{c}. {c} {c}{c}  {c}a {c}1 {c}.\n{c}\n {c}"
+            found = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
+            self.seen[c] = found == ["".join(self.letters[b] for b in x.encode()) for x in PRETOKENS.findall(probe)]
+        return self.seen[c]
+
     def __missing__(self, pretoken: str) -> int:
         if len(self) > len(self.proved) + REMEMBERED:
             self.clear()
@@ -74,7 +83,7 @@ class Counts(dict):
         return n
 
     def count(self, text: str) -> int:
-        if BEYOND_TESTED.search(text):
+        if BEYOND_TESTED.search(text) and not all(map(self.agrees, set(BEYOND_TESTED.findall(text)))):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if self.between is None or not any(s in text for s in self.specials):
             return sum(map(self.__getitem__, PRETOKENS.findall(text)))
