@@ -61,6 +61,27 @@ def test_proximity(spark):
     assert {r.id for r in decontaminate.occurrences(df, bench).collect()} == {2}
 
 
+def test_proximity_against_every_place(spark):
+    rng = random.Random(21)
+    vocabulary = ["a", "b", "c", "d", "e", "f"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 14))) for _ in range(40)]
+    phrases = ["a a b", "f e d", "b c b", "d d d"]
+    counts = {w: sum(t.split().count(w) for t in texts) for w in vocabulary}
+
+    def wanted(words, phrase, slack):
+        n = len(phrase)
+        off = min(range(n), key=lambda i: (counts[phrase[i]], phrase[i], i))
+        for pos, w in enumerate(words):
+            around = words[max(0, pos - n + 1 - slack) : pos + n + slack]
+            if w == phrase[off] and all(phrase.count(x) <= around.count(x) for x in phrase):
+                yield pos - off
+
+    for slack in (0, 2):
+        out = decontaminate.occurrences(docs(spark, texts), items(spark, phrases), slack=slack).collect()
+        got = sorted((r.id, r.start, i) for r in out for i in r["items"])
+        assert got == sorted((k, s, f"b{j}") for k, t in enumerate(texts) for j, p in enumerate(phrases) for s in wanted(t.split(), p.split(), slack))
+
+
 def test_decontamination_edges(spark, edge, empty):
     bench = items(spark, ["one two three four five six seven eight nine ten", "日本語"])
     out = decontaminate.contamination(edge, bench).collect()

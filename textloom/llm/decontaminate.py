@@ -78,11 +78,17 @@ def _postings(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str, s
     return places.join(F.broadcast(anchors), "term").select("id", "h", start.alias("start"), "wid", "w_words", "items", around.alias("around"))
 
 
+def _holds(around: Column, words: Column) -> Column:
+    """Whether each word stands around at least as often as in the window."""
+    times = lambda array, w: F.size(F.filter(array, lambda x: x == w))
+    return F.forall(F.array_distinct(words), lambda w: times(words, w) <= times(around, w))
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slack: int | None = None) -> DataFrame:
     """Places (id, h, start, n, items) where windows occur; h is the text's hash.
 
-    slack None: exact phrases. slack k: proximity, all words of the window in any order, each
-    at most its length - 1 + k words from its rarest one; start is then where that one puts it."""
+    slack None: exact phrases. slack k: proximity, all words of the window in any order, a word
+    that stands twice in it twice, each at most its length - 1 + k words from its rarest one; start is then where that one puts it."""
     windows = windows_of(benchmark, text_col="text", window=window)
     slices = max(1, -(-windows.count() // MAX_WINDOWS))
     found = []
@@ -92,7 +98,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         if slack is None:
             kept = posted.where((F.col("start") >= 0) & (F.col("around") == F.col("w_words")))
         else:
-            kept = posted.where(F.size(F.array_except("w_words", "around")) == 0)
+            kept = posted.where((F.size(F.array_except("w_words", "around")) == 0) & _holds(F.col("around"), F.col("w_words")))
         found.append(kept.select("id", "h", "start", F.size("w_words").alias("n"), "items"))
     return reduce(DataFrame.unionByName, found)
 

@@ -38,7 +38,8 @@ from textloom.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: 20 sketches of 4: a pair of similarity 0.8 meets with probability 1 - (1 - 0.8**4)**20 > 0.9999.
+#: 20 sketches of 4. Were the picks independent, a pair of similarity 0.8 would meet with probability
+#: 1 - (1 - 0.8**4)**20 > 0.9999; few shingles are picked together, so of texts of 8 and 9 words one pair in 80 is missed.
 SKETCHES, PICKED = 20, 4
 #: Members of a head that one task compares with as many others.
 PART_ROWS = 2048
