@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, quote_links, secret_scan, sentencepiece_lattice, sql, token_count
+from textloom.llm import decontaminate, embedding_dedup, fill_middle, language_id, license_scan, line_dedup, near_dedup, quote_links, secret_scan, sentencepiece_lattice, sql, token_count
 from textloom.llm.common import table
 
 
@@ -51,9 +51,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_classes(table(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_language_id, op5_sentencepiece, op6_line_dedup, op7_near_dedup, op8_token_counts, op9_quote_links, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_language_id, op5_sentencepiece, op6_line_dedup, op7_near_dedup, op8_token_counts, op9_quote_links, op10_embedding_dedup, op11_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": sql.license_scan_sql(license_scan.TEMPLATES, license_scan.PHRASES), "op2_secret_scan": sql.secret_scan_sql(), "op3_decontaminate": sql.DECONTAMINATE, "op6_line_dedup": sql.line_dedup_sql(), "op9_quote_links": sql.CHAT_QUOTES, "op10_embedding_dedup": sql.EMBEDDING_DEDUP}
+    return {"op1_license_scan": sql.license_scan_sql(license_scan.TEMPLATES, license_scan.PHRASES), "op2_secret_scan": sql.secret_scan_sql(), "op3_decontaminate": sql.DECONTAMINATE, "op6_line_dedup": sql.line_dedup_sql(), "op9_quote_links": sql.CHAT_QUOTES, "op10_embedding_dedup": sql.EMBEDDING_DEDUP, "op11_fill_in_middle": sql.FILL_IN_MIDDLE}
