@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, embedding_dedup, exact_topk, fill_middle, language_id, license_scan, line_dedup, near_dedup, quote_links, secret_scan, sentencepiece_lattice, sql, token_count
+from textloom.llm import decontaminate, embedding_dedup, exact_topk, fill_middle, language_id, license_scan, line_dedup, near_dedup, quote_links, secret_scan, sentencepiece_lattice, source_divergence, sql, token_count
 from textloom.llm.common import table
 
 
@@ -59,9 +59,13 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_five(table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_language_id, op5_sentencepiece, op6_line_dedup, op7_near_dedup, op8_token_counts, op9_quote_links, op10_embedding_dedup, op11_fill_in_middle, op12_exact_topk)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_language_id, op5_sentencepiece, op6_line_dedup, op7_near_dedup, op8_token_counts, op9_quote_links, op10_embedding_dedup, op11_fill_in_middle, op12_exact_topk, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": sql.license_scan_sql(license_scan.TEMPLATES, license_scan.PHRASES), "op2_secret_scan": sql.secret_scan_sql(), "op3_decontaminate": sql.DECONTAMINATE, "op6_line_dedup": sql.line_dedup_sql(), "op9_quote_links": sql.CHAT_QUOTES, "op10_embedding_dedup": sql.EMBEDDING_DEDUP, "op11_fill_in_middle": sql.FILL_IN_MIDDLE, "op12_exact_topk": sql.EXACT_TOPK}
+    return {"op1_license_scan": sql.license_scan_sql(license_scan.TEMPLATES, license_scan.PHRASES), "op2_secret_scan": sql.secret_scan_sql(), "op3_decontaminate": sql.DECONTAMINATE, "op6_line_dedup": sql.line_dedup_sql(), "op9_quote_links": sql.CHAT_QUOTES, "op10_embedding_dedup": sql.EMBEDDING_DEDUP, "op11_fill_in_middle": sql.FILL_IN_MIDDLE, "op12_exact_topk": sql.EXACT_TOPK, "op13_source_divergence": sql.SOURCE_DIVERGENCE}
