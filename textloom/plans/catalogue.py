@@ -91,23 +91,39 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold an item word for word. The items are the stated query set.
 
     A document that holds an item holds its inner tokens, so candidates come from a join on
-    the longest of them; items of fewer than three tokens, if any, are compared with all."""
+    the longest of them, of ids and tokens alone; the texts of the candidates come after. Items of fewer
+    than three tokens have no inner one: each text is searched for all of them in one narrow pass."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), t.search_tokens(F.col("text")).alias("tokens"))
     inner = F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 2, F.lit(0)))
     keyed = items.select("query_id", "item", F.element_at(F.array_sort(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("token")))), 1)["token"].alias("token"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = docs.select("doc_id", "text", F.explode(F.array_distinct(t.search_tokens(F.col("text")))).alias("token")).join(keyed.where("token IS NOT NULL"), "token")
-    short = docs.join(keyed.where("token IS NULL"), F.contains("text", "item"))
-    return held.where(F.contains("text", "item")).select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(t.search_tokens(F.col("text")))).alias("token")).join(keyed.where("token IS NOT NULL"), "token")
+    found = held.select("doc_id", "query_id", "item").join(docs, "doc_id").where(F.contains("text", "item")).select("query_id", "doc_id").distinct()
+    few = keyed.where("token IS NULL AND item IS NOT NULL").agg(F.collect_list(F.struct("query_id", "item")).alias("few")).select("few").scalar()
+    short = docs.withColumn("few", few).select("doc_id", F.explode(F.filter("few", lambda x: F.contains(F.col("text"), x["item"]))).alias("x")).select("x.query_id", "doc_id")
+    return found.unionByName(short)
+
+
+#: Indexes built so far, by application, folder and files; they are tables in the shared folder until the driver ends.
+INDEXES: dict[tuple, search.SparseIndex] = {}
+
+
+def sparse_index(spark: SparkSession, sf_dir: str) -> search.SparseIndex:
+    """The index of the documents, built once for an application and the files that it finds there."""
+    docs = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(docs.inputFiles()))
+    if key not in INDEXES:
+        INDEXES[key] = search.build_sparse_index(docs)
+    return INDEXES[key]
 
 
 def retrieval(spark: SparkSession, sf_dir: str) -> search.Retrieval:
-    return search.Retrieval(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
+    return search.Retrieval(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), index=sparse_index(spark, sf_dir))
 
 
 @query(f"WITH {SQL_INDEX.strip()} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM idf")
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.build_sparse_index(table(spark, sf_dir, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return sparse_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {SQL_BM25.strip()} SELECT item_id AS query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM sparse WHERE rank <= 5")
@@ -115,6 +131,19 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval(spark, sf_dir).hits(questions(spark, sf_dir), 5, "bm25").withColumn("score", F.round("score", 6))
 
 
+@query(
+    "WITH "
+    + SQL_BM25.strip().replace("unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark", "unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[3:6]) AS term FROM benchmark")
+    + " SELECT item_id AS query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM sparse WHERE rank <= 5"
+)
+def bm25_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third to sixth word of every item as a search of few words, scored with block bounds."""
+    few = F.array_join(F.slice(t.search_tokens(F.col("query")), 3, 4), " ")
+    asked = questions(spark, sf_dir).withColumn("query", few)
+    found = search.bm25_topk(sparse_index(spark, sf_dir), asked, table(spark, sf_dir, "documents"), 5, pruned=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     "WITH " + SQL_DENSE.strip().format("q.vec_id % 20 = 0") + " SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM dense WHERE rank <= 5"
 )
@@ -174,6 +203,55 @@ def tier_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.mode_summary(evaluate.per_query_metrics(asked, hits, gold(spark, sf_dir)), ["k"]))
 
 
+#: Files of a source, sections of a language: an item's gold is the section in which it first stands, its k one of five.
+SQL_SECTION_EVAL = """
+sizes AS (SELECT source, lang, count(*) AS size FROM documents GROUP BY ALL),
+first AS (SELECT item_id, min(doc_id) AS doc_id FROM gold GROUP BY 1),
+ask AS (SELECT b.item_id, [1, 3, 5, 10, 20][(b.item_id % 5 + 1)::INTEGER] AS k, d.source, d.lang FROM benchmark b LEFT JOIN first USING (item_id) LEFT JOIN documents d USING (doc_id)),
+sec AS (SELECT h.mode, a.item_id, a.k, count(*) FILTER (h.rank <= a.k AND d.source = a.source AND d.lang = a.lang) / count(*) FILTER (h.rank <= a.k) AS p,
+        coalesce(1.0 / min(CASE WHEN d.source = a.source AND d.lang = a.lang THEN h.rank END), 0)::DOUBLE AS rr, least(coalesce(any_value(s.size), 0), a.k) / a.k AS ceil
+        FROM hits h JOIN ask a USING (item_id) JOIN documents d USING (doc_id) LEFT JOIN sizes s ON s.source = a.source AND s.lang = a.lang GROUP BY h.mode, a.item_id, a.k)"""
+
+
+def section_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items with the source and language of the first document that holds them as gold document and section."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("gold_source"), F.col("lang").alias("gold_lang"))
+    first = gold(spark, sf_dir).groupBy("query_id").agg(F.min("doc_id").alias("doc_id")).join(docs, "doc_id").drop("doc_id")
+    tier = F.get(F.array(*(F.lit(k) for k in (1, 3, 5, 10, 20))), F.pmod("query_id", F.lit(5)).cast("int"))
+    return questions(spark, sf_dir).withColumn("eval_k", tier).join(first, "query_id", "left")
+
+
+def section_hits(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    return found.join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
+
+
+@query(
+    f"""WITH {SQL_BM25.strip()}, hits AS (SELECT 'bm25' AS mode, * FROM sparse), {SQL_GOLD.strip()}, {SQL_SECTION_EVAL.strip()}
+    SELECT item_id AS query_id, k::INTEGER AS k, 'known-item' AS question_type, round(p, 6) AS precision_at_k, (p > 0)::INTEGER::DOUBLE AS hit_at_k, round(ceil, 6) AS max_precision_at_k,
+           round(coalesce(p / nullif(ceil, 0), 0), 6) AS precision_attainment, round(rr, 6) AS reciprocal_rank FROM sec"""
+)
+def section_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 hits judged by the section they lie in, question by question, each at its own k."""
+    asked = section_questions(spark, sf_dir)
+    hits = section_hits(spark, sf_dir, retrieval(spark, sf_dir).hits(asked, evaluate.MRR_DEPTH, "bm25"))
+    sizes = evaluate.section_sizes(table(spark, sf_dir, "documents"), ["source", "lang"])
+    return rounded(evaluate.section_metrics(asked, hits, sizes, ["source", "lang"]))
+
+
+@query(
+    SQL_HYBRID
+    + f""", hits AS (SELECT 'bm25' AS mode, item_id, doc_id, rank FROM sparse UNION ALL SELECT 'dense', query_id, doc_id, rank FROM dense UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM hyb),
+    {SQL_GOLD.strip()}, {SQL_SECTION_EVAL.strip()}, per AS (SELECT mode, k, p, (p > 0)::INTEGER::DOUBLE AS hit, ceil, rr FROM sec)
+    SELECT mode, k::INTEGER AS k, {SQL_SUMMARY} FROM per GROUP BY 1, 2"""
+)
+def section_mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the section metrics by mode and k."""
+    r, asked = retrieval(spark, sf_dir), section_questions(spark, sf_dir)
+    sizes = evaluate.section_sizes(table(spark, sf_dir, "documents"), ["source", "lang"])
+    parts = [evaluate.section_metrics(asked, section_hits(spark, sf_dir, r.hits(asked, evaluate.MRR_DEPTH, m)), sizes, ["source", "lang"]).withColumn("mode", F.lit(m)) for m in search.MODES]
+    return rounded(evaluate.mode_summary(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["mode", "k"]))
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c, kind in df.dtypes if kind == "double"})
 

@@ -6,10 +6,16 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(app: str = "textloom", cpus: int | None = None, memory: str = "8g") -> SparkSession:
     """A local session sized to the machine, with adaptive execution and UTC timestamps."""
@@ -57,3 +63,56 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; an own one only where unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="textloom-checkpoints-")
+        spark.sparkContext.setCheckpointDir(found)
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings that hold for a while; dots in their names are written as double underscores."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
+
+
+def stored(df: DataFrame, name: str, **held: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: cuts lineage, survives executors.
+
+    The shuffle files behind it are of no more use, so Spark is told to remove them at once.
+    held: further settings while it is written."""
+    spark = df.sparkSession
+    path = own_folder(spark, name)
+    with settings(spark, **{CLEANUP.replace(".", "__"): "true"}, **held):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone already; the folder is the cluster's to clear
+        pass
