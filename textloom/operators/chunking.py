@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import bound, is_table_row, n_words, sentences, strip, token_count, words
+from textloom.functions.text import TOKENS_PER_WORD, bound, is_table_row, n_words, sentences, strip, token_count, words
+from textloom.functions.workers import held
 from textloom.operators.sections import WHOLE
+from textloom.session import ship_package
 
 # Token budgets of a chunk, of the overlap, and held back for the header.
 MAX_TOKENS = 360
@@ -145,9 +147,19 @@ def chunk_documents(sectioned: DataFrame, id_col: str = "doc_id", count: Counter
 
 def with_tokenizer(df: DataFrame, text_col: str, tokenizer: Callable[[str], int], out_col: str = "n_tokens") -> DataFrame:
     """Adds token counts by a caller's tokenizer, in Arrow batches; where it raises, the word estimate."""
-    from textloom.functions.text import TOKENS_PER_WORD
+    return _counted(df, text_col, out_col, lambda: tokenizer)
+
+
+def with_built_tokenizer(df: DataFrame, text_col: str, name: str, factory: Callable[[], Callable[[str], int]], out_col: str = "n_tokens") -> DataFrame:
+    """The same with a tokenizer that each worker builds once under that name; the word estimate where it cannot be built."""
+    return _counted(df, text_col, out_col, lambda: held(name, factory))
+
+
+def _counted(df: DataFrame, text_col: str, out_col: str, of: Callable[[], Callable[[str], int] | None]) -> DataFrame:
+    ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = of()
         for b in batches:
             out = []
             for t in b.column(b.schema.get_field_index(text_col)).to_pylist():

@@ -14,15 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
-from pyspark.sql.utils import AnalysisException
 
 from textloom.functions.text import content_key, ratio
-from textloom.session import ship_package
+from textloom.session import ship_package, stored
+from textloom.sources.versions import Versions
 
 # What is put before queries, batch sizes.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 BATCH = 32
-CACHE_SCHEMA = "model string, key string, embedding array<float>"
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -63,12 +62,23 @@ def slug(model: str) -> str:
     return model.replace("/", "__")
 
 
+VECTORS = "key string, embedding array<float>"
+
+
+def cache_of(spark: SparkSession, path: str, model: str) -> Versions:
+    """A model's cache: the versioned table `vectors`. append, replace and compact are one step each for its readers."""
+    return Versions(spark, f"{path}/{slug(model)}")
+
+
 def load_cache(spark: SparkSession, path: str, model: str) -> DataFrame:
     """The cached vectors of a model; empty if nothing has been cached."""
-    try:
-        return spark.read.schema("key string, embedding array<float>").parquet(f"{path}/{slug(model)}").select(F.lit(model).alias("model"), "key", "embedding")
-    except AnalysisException:
-        return spark.createDataFrame([], CACHE_SCHEMA)
+    return cache_of(spark, path, model).read("vectors", VECTORS).select(F.lit(model).alias("model"), "key", "embedding")
+
+
+def replace_cache(vectors: DataFrame, path: str, model: str) -> None:
+    """Makes (key, embedding) the model's whole cache; readers see the old one until the new one is complete."""
+    cache = cache_of(vectors.sparkSession, path, model)
+    cache.replace("vectors", vectors.select("key", F.col("embedding").cast("array<float>").alias("embedding")).dropDuplicates(["key"]))
 
 
 def misses(texts: DataFrame, cache: DataFrame, model: str, text_col: str = "text") -> DataFrame:
@@ -94,15 +104,19 @@ def cache_stats(texts: DataFrame, cache: DataFrame, model: str, text_col: str =
 def encode_cached(texts: DataFrame, path: str, model: str, encoder: Encoder = hashed_encoder, text_col: str = "text", on_progress: Callable[[int], None] | None = None, slices: int = 16) -> DataFrame:
     """The rows of texts with their embeddings; only texts not yet cached are encoded.
 
-    The texts to encode are taken in slices by hash of their key, each appended by a write of
-    its own: when one fails, those before it are kept and a second call takes up from there.
+    What is missing is written once and then encoded in slices by hash of the key, each committed by
+    itself: when one fails, those before it are kept and a second call takes up from there.
+    Afterwards the slices are made one segment, and what it replaces is deleted with the next call.
     on_progress hears after each slice how many vectors the cache holds."""
-    spark = texts.sparkSession
+    spark, cache = texts.sparkSession, cache_of(texts.sparkSession, path, model)
+    if cache.numbers():
+        cache.forget()
+    wanted = stored(misses(texts, load_cache(spark, path, model), model, text_col), "misses")
     for k in range(slices):
-        own = texts.where(F.pmod(F.xxhash64(content_key(F.col(text_col))), F.lit(slices)) == k)
-        new = encode(misses(own, load_cache(spark, path, model), model, text_col), "text", encoder).select("key", "embedding")
-        new.write.mode("append").parquet(f"{path}/{slug(model)}")
+        own = wanted.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == k)
+        cache.append("vectors", encode(own, "text", encoder).select("key", "embedding"))
         if on_progress:
             on_progress(load_cache(spark, path, model).count())
-    cache = load_cache(spark, path, model).select("key", "embedding").dropDuplicates(["key"])
-    return texts.withColumn("_key", content_key(F.col(text_col))).join(cache.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+    cache.compact("vectors", VECTORS, "key", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    vectors = cache.read("vectors", VECTORS).dropDuplicates(["key"])
+    return texts.withColumn("_key", content_key(F.col(text_col))).join(vectors.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as t
-from textloom.operators import answers, chunking, corpus, embedding, evaluate, extract, quality, reports, search, sections
-from textloom.session import spread
+from textloom.operators import answers, chunk_store, chunking, corpus, embedding, evaluate, extract, pdf, quality, reports, search, sections
+from textloom.session import own_folder, spread
+from textloom.sources import files, http
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -308,7 +309,38 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", chunking.embed_text(F.col("source"), F.col("lang"), section, F.col("text")).alias("embed_text"))
 
 
-@query()
+#: Chunks of `documents`, packed by a recursive step: a chunk reaches from s over x, which it must hold, to e.
+SQL_WORDS = r"list_filter(string_split_regex({0}, '\s+'), lambda w: w <> '')"
+SQL_TOKENS = f"(floor(len({SQL_WORDS}) * 1.6::DOUBLE)::BIGINT + 1)"
+SQL_LINE_END = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
+SQL_CHUNKS = rf"""
+ln AS (SELECT doc_id, i, line, starts_with(line, '|') AS tab FROM (SELECT doc_id, unnest(string_split_regex(text, {SQL_LINE_END})) AS line,
+       generate_subscripts(string_split_regex(text, {SQL_LINE_END}), 1) AS i FROM documents WHERE text IS NOT NULL)),
+blk AS (SELECT doc_id, b, any_value(tab) AS tab, string_agg(line, chr(10) ORDER BY i) AS body FROM (SELECT *, sum(turn) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM
+        (SELECT *, (tab IS DISTINCT FROM lag(tab) OVER (PARTITION BY doc_id ORDER BY i))::INTEGER AS turn FROM ln)) GROUP BY 1, 2 HAVING regexp_replace(string_agg(line, ''), '\s', '', 'g') <> ''),
+sen AS (SELECT doc_id, b, ' ' AS sep, '' AS head, 360 AS budget, 60 AS overlap, i AS ord, s AS piece FROM (SELECT doc_id, b, unnest(string_split(t, chr(1))) AS s, generate_subscripts(string_split(t, chr(1)), 1) AS i
+        FROM (SELECT doc_id, b, regexp_replace(regexp_replace(body, '^\s+|\s+$', '', 'g'), '([.!?]["'')\]]?)\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g') AS t FROM blk WHERE NOT tab)) WHERE trim(s) <> ''),
+hd AS (SELECT doc_id, b, l, CASE WHEN len(l) > 1 AND regexp_full_match(l[2], '[-| ]*') THEN 2 ELSE 1 END AS h FROM (SELECT doc_id, b, string_split(body, chr(10)) AS l FROM blk WHERE tab AND {SQL_TOKENS.format("body")} > 360)),
+tab AS (SELECT doc_id, b, chr(10) AS sep, head || chr(10) AS head, 360 - {SQL_TOKENS.format("head")} AS budget, -1 AS overlap, i AS ord, row_ AS piece FROM
+        (SELECT doc_id, b, array_to_string(l[1:h], chr(10)) AS head, unnest(l[h + 1:]) AS row_, generate_subscripts(l[h + 1:], 1) AS i FROM hd)),
+un AS (SELECT *, {SQL_WORDS.format("piece")} AS w, {SQL_TOKENS.format("piece")} AS n FROM (SELECT * FROM sen UNION ALL SELECT * FROM tab)),
+cut AS (SELECT doc_id, b, sep, head, budget, overlap, ord, 0 AS j, piece FROM un WHERE n <= budget OR len(w) <= 1 UNION ALL
+        SELECT doc_id, b, sep, head, budget, overlap, ord, j, array_to_string(w[j * step + 1 : (j + 1) * step], ' ') FROM
+        (SELECT *, unnest(generate_series(0, (len(w) - 1) // step)) AS j FROM (SELECT *, greatest(1, floor(budget / (n / len(w)::DOUBLE)))::BIGINT AS step FROM un WHERE n > budget AND len(w) > 1))),
+u AS MATERIALIZED (SELECT *, sum(n) OVER o AS upto, sum(n) OVER o - n AS before, row_number() OVER o AS i FROM (SELECT *, {SQL_TOKENS.format("piece")} AS n FROM cut) WINDOW o AS (PARTITION BY doc_id, b ORDER BY ord, j)),
+far AS MATERIALIZED (SELECT a.doc_id, a.b, a.i, max(z.i) FILTER (z.upto - a.before <= a.budget) AS e FROM u a JOIN u z ON z.doc_id = a.doc_id AND z.b = a.b AND z.i BETWEEN a.i AND a.i + 360 GROUP BY ALL),
+carry AS MATERIALIZED (SELECT a.doc_id, a.b, a.i, coalesce(min(z.i) FILTER (a.upto - z.before <= a.overlap), a.i + 1) AS s FROM u a JOIN u z ON z.doc_id = a.doc_id AND z.b = a.b AND z.i BETWEEN a.i - 60 AND a.i GROUP BY a.doc_id, a.b, a.i),
+ch AS (SELECT doc_id, b, 1 AS k, i AS s, i AS x, greatest(i, coalesce(e, 0)) AS e FROM far WHERE i = 1 UNION ALL
+       SELECT ch.doc_id, ch.b, ch.k + 1, f.i, ch.e + 1, greatest(ch.e + 1, coalesce(f.e, 0)) FROM ch JOIN far nxt ON nxt.doc_id = ch.doc_id AND nxt.b = ch.b AND nxt.i = ch.e + 1
+       JOIN carry c ON c.doc_id = ch.doc_id AND c.b = ch.b AND c.i = ch.e JOIN far f ON f.doc_id = ch.doc_id AND f.b = ch.b AND f.i = greatest(c.s, ch.s)),
+packed AS (SELECT ch.doc_id, ch.b, ch.k, any_value(u.head) || CASE WHEN any_value(u.sep) = ' ' THEN string_agg(u.piece, ' ' ORDER BY u.i) ELSE string_agg(u.piece, chr(10) ORDER BY u.i) END AS text FROM ch JOIN u ON u.doc_id = ch.doc_id AND u.b = ch.b AND u.i BETWEEN ch.s AND ch.e GROUP BY 1, 2, 3
+           UNION ALL SELECT doc_id, b, 0, body FROM blk WHERE tab AND {SQL_TOKENS.format("body")} <= 360),
+chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b, k) - 1)::INTEGER AS chunk_index, text FROM packed)"""
+
+
+@query(
+    f"WITH RECURSIVE {SQL_CHUNKS.strip()} SELECT doc_id || '::' || chunk_index AS chunk_id, doc_id, 'Full Document' AS section, chunk_index, len({SQL_WORDS.format('text')})::INTEGER AS word_count, sha256(text) AS text_sha256 FROM chunks"
+)
 def prose_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir).select("doc_id", F.lit(0).alias("sec_pos"), F.lit(sections.WHOLE).alias("section"), F.col("text").alias("body"))
     chunks = chunking.chunk_documents(docs)
@@ -350,6 +382,68 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "sec_pos", "section", F.length("body").cast("bigint").alias("n_chars"))
 
 
+#: The lines of every page's text, as html_text_lines states them.
+SQL_PAGES = r"""
+hb AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!doctype[^>]*>', '', 'g') AS h FROM pages),
+hx AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', chr(10), 'g'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;', '&') AS t FROM hb),
+hl AS (SELECT page_id, i, trim(line, ' ' || chr(9) || chr(13) || chr(160)) AS line FROM (SELECT page_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM hx)),
+page AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) AS text FROM hl WHERE line <> '' GROUP BY 1)"""
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files of a corpus; the number of a page stands for its name."""
+    page = F.col("page_id").cast("string")
+    return table(spark, sf_dir, "pages").select(page.alias("doc_id"), F.col("url").alias("path"), F.col("html").cast("binary").alias("content"), F.lit("html").alias("format"), "page_id")
+
+
+@query(
+    rf"""WITH RECURSIVE documents AS (WITH {SQL_PAGES.strip()}, documents AS (SELECT p.page_id AS doc_id, coalesce(text, '') AS text FROM pages p LEFT JOIN page USING (page_id)), {SQL_CLEAN.strip()} SELECT doc_id, text FROM norm WHERE doc_id % 10 <> 1),
+    {SQL_CHUNKS.strip()} SELECT doc_id || '::' || chunk_index AS chunk_id, doc_id::VARCHAR AS doc_id, (CASE WHEN doc_id % 2 = 0 AND doc_id % 10 <> 0 THEN 1 ELSE 2 END)::INTEGER AS run, chunk_index, sha256('Pages' || chr(10) || text) AS embed_sha256 FROM chunks"""
+)
+def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of all pages after two runs: the first sees most pages, odd ones cut in half; the second adds, changes and removes."""
+    all_files = page_files(spark, sf_dir).withColumn("company", F.lit("Pages"))
+    store = chunk_store.ChunkStore(spark, own_folder(spark, "chunks"))
+    html = F.col("content").cast("string")
+    half = F.substring(html, F.lit(1), F.floor(F.length(html) / 2).cast("int")).cast("binary")
+    store.update(all_files.where("page_id % 10 <> 0").withColumn("content", F.when(F.col("page_id") % 2 == 1, half).otherwise(F.col("content"))))
+    store.update(all_files.where("page_id % 10 <> 1"))
+    return store.chunks().select("chunk_id", "doc_id", "run", "chunk_index", t.content_key(F.col("embed_text")).alias("embed_sha256"))
+
+
+@query(
+    r"""SELECT page_id, file_name, exhibit_type, kind FROM (SELECT page_id, 'exhibit-' || page_id || CASE page_id % 3 WHEN 0 THEN '.htm' WHEN 1 THEN '.TXT' ELSE '.pdf' END AS file_name,
+    ['EX-10.1', 'ex-19', 'EX-97', 'EX-21', '10-K'][(page_id % 5 + 1)::INTEGER] AS exhibit_type, ['contract', 'policy', 'policy', NULL, NULL][(page_id % 5 + 1)::INTEGER] AS kind FROM pages)
+    WHERE kind IS NOT NULL AND page_id % 3 <> 2"""
+)
+def exhibit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exhibits listed on index pages: each page behind an index row that describes it."""
+    suffix = F.get(F.array(*(F.lit(x) for x in (".htm", ".TXT iXBRL", ".pdf"))), (F.col("page_id") % 3).cast("int"))
+    kind = F.get(F.array(*(F.lit(x) for x in ("EX-10.1", "ex-19", "EX-97", "EX-21", "10-K"))), (F.col("page_id") % 5).cast("int"))
+    row = F.concat(F.lit("<table><tr><td>1</td><td>An exhibit</td><td><a>exhibit-"), F.col("page_id").cast("string"), suffix, F.lit("</a></td><td>"), kind, F.lit("</td></tr></table>"), "html")
+    return http.exhibits(table(spark, sf_dir, "pages").select("page_id", row.alias("html"))).select("page_id", "file_name", "exhibit_type", "kind")
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents)),
+    p AS (SELECT doc_id, word, i // 100 AS page, i % 100 // 10 AS r, i % 10 AS c FROM w),
+    l AS (SELECT doc_id, page, 0 AS late, r, string_agg(word, ' ' ORDER BY c) AS line FROM p
+          WHERE NOT ((doc_id + page) % 3 = 0 AND c * 50 + 20 BETWEEN 95 AND 305 AND r * 12 + c % 2 + 5 BETWEEN 20 AND 60) GROUP BY ALL),
+    t AS (SELECT DISTINCT doc_id, page, 1 AS late, 0 AS r, '| page | document |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || page || ' | $' || doc_id || ' |' AS line FROM p WHERE (doc_id + page) % 3 = 0)
+    SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY page, late, r)) AS text_sha256 FROM (SELECT * FROM l UNION ALL SELECT * FROM t) GROUP BY 1"""
+)
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's words set on pages of ten by ten words, every third page with a table over some of them."""
+    i = F.col("i")
+    column, row = i % 10, F.floor(i % 100 / 10)
+    placed = texts(spark, sf_dir).select("doc_id", F.posexplode(t.words(F.col("text"))).alias("i", "text"))
+    words = placed.select("doc_id", F.floor(i / 100).cast("bigint").alias("page"), (column * 50.0).alias("x0"), (column * 50.0 + 40).alias("x1"), (row * 12.0 + column % 2).alias("top"), (row * 12.0 + column % 2 + 10).alias("bottom"), "text")
+    pages = placed.where("i % 100 = 0").select("doc_id", F.floor(i / 100).cast("bigint").alias("page")).where("(doc_id + page) % 3 = 0")
+    cells = F.array(F.array(F.lit("page"), F.lit(""), F.lit("document")), F.array(F.col("page").cast("string"), F.lit(""), F.lit("$"), F.col("doc_id").cast("string")))
+    tables = pages.select("doc_id", "page", F.lit(0).alias("table_no"), F.lit(95.0).alias("x0"), F.lit(305.0).alias("x1"), F.lit(20.0).alias("top"), F.lit(60.0).alias("bottom"), cells.alias("rows"))
+    return pdf.page_texts(words, tables).select("doc_id", t.content_key(F.col("text")).alias("text_sha256"))
+
+
 @query(
     r"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!doctype[^>]*>', '', 'g') AS h FROM pages),
     x AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', chr(10), 'g'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;', '&') AS t FROM b),
@@ -418,6 +512,33 @@ def quality_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.summarise_by_type(graded(spark, sf_dir), "source")
 
 
+@query(
+    f"""WITH {SQL_QUALITY.strip()} SELECT source, status, CASE WHEN grouping(source) = 1 THEN CASE WHEN grouping(status) = 1 THEN 'all' ELSE 'by status' END WHEN grouping(status) = 1 THEN 'by type' ELSE 'by type and status' END AS level,
+    count(*)::BIGINT AS documents, round(avg(yield_ratio), 6) AS mean_yield_ratio, round(avg(alpha_ratio), 6) AS mean_alpha_ratio, round(avg(boilerplate_ratio), 6) AS mean_boilerplate_ratio, round(avg(table_row_ratio), 6) AS mean_table_row_ratio
+    FROM g GROUP BY GROUPING SETS ((), (status), (source), (source, status))"""
+)
+def quality_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary over all, by status, by source and by both, in one pass."""
+    return rounded(quality.summary_sets(graded(spark, sf_dir), "source"))
+
+
+@query(
+    rf"""WITH documents AS (WITH {SQL_PAGES.strip()}, documents AS (SELECT p.page_id AS doc_id, coalesce(text, '') AS text FROM pages p LEFT JOIN page USING (page_id)), {SQL_CLEAN.strip()}
+    SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 3) THEN '' ELSE norm.text END AS text, CASE WHEN doc_id % 2 = 0 THEN 'email' ELSE 'page' END AS source, CASE WHEN doc_id % 7 IN (0, 3) THEN 0 ELSE strlen(html) END AS bytes FROM norm JOIN pages ON page_id = doc_id),
+    {SQL_QUALITY.strip().replace("strlen(text) * 2", "bytes").replace("d.source, length(text)", "d.source, d.bytes, length(text)")}
+    SELECT doc_id::VARCHAR AS doc_id, source AS doc_type, CASE WHEN doc_id % 7 IN (0, 3) THEN 'fail' ELSE status END AS status, (CASE WHEN doc_id % 7 IN (0, 3) THEN 1 ELSE n_issues END)::INTEGER AS n_issues,
+           CASE doc_id % 7 WHEN 0 THEN 'RuntimeError' WHEN 3 THEN 'ValueError' ELSE '' END AS raised, chars, round(yield_ratio, 9) AS yield_ratio FROM g"""
+)
+def validation_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports on all pages as files, every seventh a PDF that nothing here reads, another seventh of an unknown format."""
+    form = F.when(F.col("page_id") % 7 == 0, "pdf").when(F.col("page_id") % 7 == 3, "xyz").otherwise("html")
+    kind = F.when(F.col("page_id") % 2 == 0, "email").otherwise("page")
+    read = files.extract_texts(page_files(spark, sf_dir).select("doc_id", "path", "content", form.alias("format"), kind.alias("doc_type"), F.octet_length("content").alias("length")))
+    checked = quality.validate(t.normalise_documents(read.drop("content", "path")))
+    raised = F.regexp_extract(F.array_join("issues", " "), "extraction raised (\\w+)", 1)
+    return rounded(checked.select("doc_id", "doc_type", "status", F.size("issues").alias("n_issues"), raised.alias("raised"), "chars", "yield_ratio"), 9)
+
+
 @query(f"WITH {SQL_QUALITY.strip()} SELECT doc_id FROM g WHERE status = 'fail'")
 def failed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.flagged(graded(spark, sf_dir), "fail")

@@ -8,9 +8,12 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from textloom.session import ship_package
+
 # Attempts, pauses, time-out; kinds of exhibits.
 ATTEMPTS, COURTESY_S, BACKOFF_S, TIMEOUT_S = 4, 0.4, 1.5, 45
 EXHIBIT = re.compile(r"^EX-(10|19|97)(\.\d+)?$", re.I)
@@ -77,18 +80,25 @@ def register(spark: SparkSession) -> None:
 
 
 class _Rows(HTMLParser):
+    """Rows of cells, each the pieces of text between its tags; text elsewhere is left out."""
+
     def __init__(self) -> None:
         super().__init__()
         self.rows: list[list[list[str]]] = []
+        self.in_cell = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "tr":
             self.rows.append([])
         elif tag == "td" and self.rows:
             self.rows[-1].append([])
+        self.in_cell = tag == "td" or self.in_cell and tag != "tr"
+
+    def handle_endtag(self, tag: str) -> None:
+        self.in_cell = self.in_cell and tag not in ("td", "tr", "table")
 
     def handle_data(self, data: str) -> None:
-        if self.rows and self.rows[-1]:
+        if self.in_cell and self.rows and self.rows[-1]:
             self.rows[-1][-1].append(data)
 
 
@@ -105,3 +115,17 @@ def find_exhibits(html: str) -> list[tuple[str, str, str]]:
         if (m := EXHIBIT.match(text[3])) and name.lower().endswith((".htm", ".html", ".txt")):
             found.append((name, text[3], EXHIBIT_KINDS[m.group(1)]))
     return found
+
+
+@F.udtf(returnType="file_name string, exhibit_type string, kind string")
+class ExhibitRows:
+    """find_exhibits() as a table function."""
+
+    def eval(self, html: str):
+        yield from find_exhibits(html or "")
+
+
+def exhibits(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """One row for each exhibit that an index page lists: the page's columns, file_name, exhibit_type, kind."""
+    ship_package(pages.sparkSession)
+    return pages.lateralJoin(ExhibitRows(F.col(html_col).outer()))
