@@ -289,3 +289,16 @@ def test_token_edges(spark, edge, empty):
     by = {r.doc_id: r for r in out}
     assert (by[1].n_tokens, by[1].n_bytes, by[1].over_limit) == (0, 0, False) and by[5].over_limit
     assert token_count.token_counts(empty, VOCABULARY).count() == 0
+
+
+def test_language_sample_is_bounded(spark):
+    many = spark.range(3000).selectExpr("1L as doc_id", "repeat('abcde fghi ', 1000) as text", "'en' as lang")
+    others = spark.range(3000).selectExpr("id + 10 as doc_id", "concat(repeat('lorem ipsum ', 500), id) as text", "'la' as lang")
+    huge = spark.range(1).selectExpr("3L as doc_id", "repeat('zyx wv ', 500000) as text", "'zz' as lang")
+    got = language_id.labelled_sample(many.union(others).union(huge))
+    chars, rows = {}, {}
+    for lang, text in got:
+        chars[lang], rows[lang] = chars.get(lang, 0) + len(text), rows.get(lang, 0) + 1
+    assert rows["en"] == 1 and rows["zz"] == 1 and chars["zz"] == language_id.SAMPLE_CHARS
+    assert 100 < rows["la"] <= language_id.SAMPLE_DOCS and language_id.SAMPLE_CHARS / 3 < chars["la"] <= language_id.SAMPLE_CHARS
+    assert language_id.labelled_sample(many.union(others).union(huge)) == got

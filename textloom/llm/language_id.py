@@ -26,7 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import map_batches
@@ -220,23 +220,34 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit_recogniser(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Recogniser:
-    """Learns from a bounded sample of the labelled rows outside the held-out fold."""
+def labelled_sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """(language, text) of the labelled rows outside the held-out fold that are learned from.
+
+    Rows are drawn by a hash of id and text, equal ones once; of those drawn, as many as fit the language's characters are
+    taken in the order of that hash. The first row of a language is always among them, cut to that size if it is longer."""
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     sizes = labelled.groupBy(lang_col).agg(F.count("*").alias("n"), F.sum(F.length(text_col)).alias("chars")).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
-        return train([])
+        return []
     most = min(SAMPLE_CHARS, TOTAL_CHARS // len(sizes))
-    size, place = F.length(text_col), F.pmod(F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col)), F.lit(DRAWN))
-    # the first in this order is always drawn
-    order = F.struct((size > most).alias("long"), F.when(size > most, size).otherwise(0).alias("size"), place.alias("place"))
-    first = labelled.groupBy(lang_col).agg(F.min(order).alias("first")).select(F.col(lang_col).alias("of"), "first")
+    hashed = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.length(text_col).alias("size"), F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col)).alias("h"))
+    place = F.pmod("h", F.lit(DRAWN))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, SAMPLE_DOCS / r["n"], most / max(1, r["chars"])))])
-    some = (size <= most) & (place / DRAWN < F.element_at(share, F.col(lang_col)))
-    drawn = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), some.alias("some"), order.alias("order")).join(F.broadcast(first), F.col("lang") == F.col("of"))
-    return train([(r[0], r[1]) for r in drawn.where(F.col("some") | (F.col("order") == F.col("first"))).select("lang", "text").collect()])
+    drawn = hashed.where((F.col("size") <= most) & (place / DRAWN < F.element_at(share, F.col("lang")))).select("lang", "h", "size", place.alias("place")).dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy("place", "h").rowsBetween(Window.unboundedPreceding, 0)
+    taken = drawn.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= most).select("lang", "h")
+    long = F.col("size") > most
+    first = hashed.groupBy("lang").agg(F.min(F.struct(long.alias("long"), F.when(long, F.col("size")).otherwise(0).alias("size"), place.alias("place"), "h")).alias("x")).select("lang", "x.h")
+    wanted = taken.unionByName(first).distinct()  # at most some multiple of SAMPLE_DOCS a language
+    texts = hashed.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.first(F.substring("text", 1, most)).alias("text"))
+    return [(r["lang"], r["text"]) for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"]))]
+
+
+def fit_recogniser(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Recogniser:
+    """Learns from a bounded sample of the labelled rows outside the held-out fold."""
+    return train(labelled_sample(df, id_col, text_col, lang_col))
 
 
 def predict(df: DataFrame, recogniser: Recogniser, id_col: str = "doc_id", text_col: str = "text", passed: list[str] | None = None) -> DataFrame:
