@@ -1,6 +1,7 @@
 """Line dedup, near-duplicate documents, near-duplicate embeddings and components."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -253,3 +254,25 @@ def test_embedding_edges(spark):
     assert all(got[i] == (0, i) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12, 15)) and got[None] == (0, None)
     assert got[13] == got[14] == (1, 13)
     assert embedding_dedup.embedding_classes(df.limit(0)).count() == 0
+
+
+def test_a_pair_of_very_long_lines_is_compared_in_time(spark):
+    words = [f"w{i * 7919 % 100_003}" for i in range(20_000)]
+    other = list(words)
+    for i in range(0, 20_000, 400):
+        other[i] = f"new{i}"
+    rows = spark.createDataFrame([(1, " ".join(words), " ".join(other)), (2, " ".join(words), " ".join(w + "x" for w in words)), (3, "a b a c", "a b a c")], "i int, a string, b string")
+    pair = lambda df: {r.i: r.near for r in df.select("i", line_dedup._within_words(F.split("a", " "), F.split("b", " "), 10).alias("near")).collect()}
+    pair(rows.where("i = 3"))
+    began = time.perf_counter()
+    assert pair(rows) == {1: True, 2: False, 3: False}
+    assert time.perf_counter() - began < 8
+
+
+def test_words_are_coded_alike(spark):
+    rng = random.Random(6)
+    lists = [([rng.choice("abcdefgh") for _ in range(rng.randrange(12))], [rng.choice("abcdefgh") for _ in range(rng.randrange(12))]) for _ in range(60)]
+    got = spark.createDataFrame([(i, *x) for i, x in enumerate(lists)], "i int, a array<string>, b array<string>").select("i", line_dedup._coded(F.col("a"), F.col("b")).alias("c"))
+    for r in got.collect():
+        words, codes = [*lists[r.i][0], *lists[r.i][1]], r.c.a + r.c.b
+        assert len(codes) == len(words) and len(set(zip(words, codes, strict=True))) == len(set(words)) == len(set(codes)) and len(r.c.a) == len(lists[r.i][0])

@@ -30,7 +30,7 @@ are written once and fetched again only for candidates. The verdicts on the most
 lines (at most FREQUENT of them) are broadcast, so no task gets all places of a line.
 
 Defined results: null and empty texts have no lines to drop; blank lines stay; lines are
-compared whole, of any length; rows of equal id and text count as one document and get the
+compared whole, of any length, by words up to MAX_CODES distinct ones in a pair; rows of equal id and text count as one document and get the
 same result; a null id sorts before all others; other input columns pass through unchanged.
 """
 
@@ -56,6 +56,8 @@ WORDS_AN_EDIT = 10
 SLICES = 2
 #: Lines whose verdicts are broadcast, at most: those with at least this share of all places.
 FREQUENT = 10_000
+#: Distinct words that a pair of lines may have to be compared by words: as many as there are characters beyond 0x10000.
+MAX_CODES = 1_000_000
 #: Characters whose counts two near lines must nearly share; any would do, frequent ones reject most.
 COUNTED = ("e", "n", "t", "a", "i", "o", "r")
 #: Buckets of word hashes whose counts two lines near by words must nearly share, and bits of a count.
@@ -160,13 +162,30 @@ def few_words(max_edits: int, words_an_edit: int) -> int:
     return n + max_edits
 
 
+def _coded(a: Column, b: Column) -> Column:
+    """The arrays as two strings in which each distinct word of both is one character; null beyond MAX_CODES of them.
+
+    One sort of the words with their places brings equal ones together; a run's number is its word's code."""
+    placed = lambda x, side: F.transform(x, lambda w, i: F.struct(w.alias("w"), F.lit(side).alias("side"), i.alias("i")))
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["w"] != F.get(s, F.greatest(i - 1, F.lit(0)))["w"]), i)), lambda i: i.isNotNull())
+
+    def numbered(s: Column, starts: Column) -> Column:
+        run = lambda i, k: F.transform(F.slice(s, i + 1, F.coalesce(F.get(starts, k + 1), F.size(s)) - i), lambda x: F.struct(x["side"].alias("side"), x["i"].alias("i"), k.alias("code")))
+        return F.when(F.size(starts) <= MAX_CODES, F.flatten(F.transform(starts, run)))
+
+    def text(codes: Column, side: int) -> Column:
+        own = F.array_sort(F.filter(codes, lambda x: x["side"] == side))
+        return F.decode(F.unhex(F.array_join(F.transform(own, lambda x: F.lpad(F.hex(x["code"] + 0x10000), 8, "0")), "")), "UTF-32")
+
+    codes = bound(F.array_sort(F.concat(placed(a, 0), placed(b, 1))), lambda s: bound(begins(s), lambda starts: numbered(s, starts)))
+    return bound(codes, lambda c: F.struct(text(c, 0).alias("a"), text(c, 1).alias("b")))
+
+
 def _within_words(a: Column, b: Column, words_an_edit: int) -> Column:
     """Whether the word arrays lie within their budget of word edits, each word of the two as one character."""
     budget = word_budget(F.greatest(F.size(a), F.size(b)), words_an_edit)
-    known = F.array_distinct(F.concat(a, b))
-    coded = lambda x, d: F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(F.array_position(d, w) + 0x10000), 8, "0")), "")), "UTF-32")
-    distance = F.get(F.transform(F.array(known), lambda d: F.call_function("levenshtein", coded(a, d), coded(b, d), budget)), F.lit(0))
-    return (budget > 0) & (F.abs(F.size(a) - F.size(b)) <= budget) & (F.size(F.array_except(a, b)) <= budget) & (F.size(F.array_except(b, a)) <= budget) & (distance >= 0)
+    distance = bound(_coded(a, b), lambda c: F.call_function("levenshtein", c["a"], c["b"], budget))
+    return (budget > 0) & (F.abs(F.size(a) - F.size(b)) <= budget) & (F.size(F.array_except(a, b)) <= budget) & (F.size(F.array_except(b, a)) <= budget) & F.coalesce(distance >= 0, F.lit(False))
 
 
 def bucket_counts(words: Column) -> Column:
