@@ -171,7 +171,7 @@ def test_remap(spark):
     rows = {r.id: r for r in answers.guarded_remap(questions, chunks).collect()}
     assert (rows["q1"].chunk_id, rows["q1"].outcome) == ("c1", "changed")
     assert rows["q2"].outcome == "unresolved" and "overlap" in rows["q2"].reason
-    assert rows["q3"].reason == "gold_doc_id absent from corpus"
+    assert rows["q3"].reason == "no chunk of its document is left"
 
 
 def test_embedding_cache(spark, tmp_path):

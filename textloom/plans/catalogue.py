@@ -313,11 +313,14 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_WORDS = r"list_filter(string_split_regex({0}, '\s+'), lambda w: w <> '')"
 SQL_TOKENS = f"(floor(len({SQL_WORDS}) * 1.6::DOUBLE)::BIGINT + 1)"
 SQL_LINE_END = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
-SQL_CHUNKS = rf"""
+SQL_BLOCKS = rf"""
 ln AS (SELECT doc_id, i, line, starts_with(line, '|') AS tab FROM (SELECT doc_id, unnest(string_split_regex(text, {SQL_LINE_END})) AS line,
        generate_subscripts(string_split_regex(text, {SQL_LINE_END}), 1) AS i FROM documents WHERE text IS NOT NULL)),
 blk AS (SELECT doc_id, b, any_value(tab) AS tab, string_agg(line, chr(10) ORDER BY i) AS body FROM (SELECT *, sum(turn) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM
-        (SELECT *, (tab IS DISTINCT FROM lag(tab) OVER (PARTITION BY doc_id ORDER BY i))::INTEGER AS turn FROM ln)) GROUP BY 1, 2 HAVING regexp_replace(string_agg(line, ''), '\s', '', 'g') <> ''),
+        (SELECT *, (tab IS DISTINCT FROM lag(tab) OVER (PARTITION BY doc_id ORDER BY i))::INTEGER AS turn FROM ln)) GROUP BY 1, 2 HAVING regexp_replace(string_agg(line, ''), '\s', '', 'g') <> '')"""
+SQL_CHUNKS = (
+    SQL_BLOCKS
+    + rf""",
 sen AS (SELECT doc_id, b, ' ' AS sep, '' AS head, 360 AS budget, 60 AS overlap, i AS ord, s AS piece FROM (SELECT doc_id, b, unnest(string_split(t, chr(1))) AS s, generate_subscripts(string_split(t, chr(1)), 1) AS i
         FROM (SELECT doc_id, b, regexp_replace(regexp_replace(body, '^\s+|\s+$', '', 'g'), '([.!?]["'')\]]?)\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g') AS t FROM blk WHERE NOT tab)) WHERE trim(s) <> ''),
 hd AS (SELECT doc_id, b, l, CASE WHEN len(l) > 1 AND regexp_full_match(l[2], '[-| ]*') THEN 2 ELSE 1 END AS h FROM (SELECT doc_id, b, string_split(body, chr(10)) AS l FROM blk WHERE tab AND {SQL_TOKENS.format("body")} > 360)),
@@ -336,6 +339,7 @@ ch AS (SELECT doc_id, b, 1 AS k, i AS s, i AS x, greatest(i, coalesce(e, 0)) AS
 packed AS (SELECT ch.doc_id, ch.b, ch.k, any_value(u.head) || CASE WHEN any_value(u.sep) = ' ' THEN string_agg(u.piece, ' ' ORDER BY u.i) ELSE string_agg(u.piece, chr(10) ORDER BY u.i) END AS text FROM ch JOIN u ON u.doc_id = ch.doc_id AND u.b = ch.b AND u.i BETWEEN ch.s AND ch.e GROUP BY 1, 2, 3
            UNION ALL SELECT doc_id, b, 0, body FROM blk WHERE tab AND {SQL_TOKENS.format("body")} <= 360),
 chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY b, k) - 1)::INTEGER AS chunk_index, text FROM packed)"""
+)
 
 
 @query(
@@ -646,11 +650,12 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT conv_id, turn, CASE WHEN contains(r, 'CORRECT') THEN 'CORRECT' WHEN contains(r, 'PARTIAL') THEN 'PARTIAL' WHEN contains(r, 'WRONG') THEN 'WRONG' WHEN contains(r, 'REFUSED') THEN 'REFUSED' ELSE 'UNPARSED' END AS verdict
-    FROM (SELECT conv_id, turn, upper(['It is incorrect', 'partial.', 'wrong', 'Refused', 'maybe?'][(turn % 5 + 1)::INTEGER]) AS r FROM conversations)"""
+    FROM (SELECT conv_id, turn, upper(coalesce(text, '') || ' ' || ['It is incorrect', 'partial.', 'wrong', 'Refused', 'maybe?'][(turn % 5 + 1)::INTEGER]) AS r FROM conversations)"""
 )
 def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a judge's reasoning, with a verdict behind."""
     replies = F.array(*(F.lit(x) for x in ("It is incorrect", "partial.", "wrong", "Refused", "maybe?")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.parse_verdict(F.get(replies, (F.col("turn") % 5).cast("int"))).alias("verdict"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.parse_verdict(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.get(replies, (F.col("turn") % 5).cast("int")))).alias("verdict"))
 
 
 # --- remapping ------------------------------------------------------------------------------
@@ -770,23 +775,23 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, text, '| a | b |' || chr(10) || '| 1 | 2 |' AS tab, trim(regexp_replace(text, '\\s', '', 'g')) = '' AS blank FROM documents WHERE text IS NOT NULL AND NOT starts_with(text, '|') AND NOT contains(text, chr(10) || '|'))
-    SELECT doc_id, CASE WHEN blank THEN 1 ELSE 3 END::INTEGER AS n_blocks, CASE WHEN blank THEN 'table' ELSE 'prose,table,prose' END AS kinds,
-           sha256(CASE WHEN blank THEN tab ELSE text || chr(1) || tab || chr(1) || text END) AS bodies_sha256 FROM d"""
+    f"""WITH documents AS (SELECT doc_id, text || chr(10) || '| a | b |' || chr(10) || '| 1 | 2 |' || chr(10) || text AS text FROM documents), {SQL_BLOCKS.strip()}
+    SELECT doc_id, count(*)::INTEGER AS n_blocks, string_agg(CASE WHEN tab THEN 'table' ELSE 'prose' END, ',' ORDER BY b) AS kinds, sha256(string_agg(body, chr(1) ORDER BY b)) AS bodies_sha256 FROM blk GROUP BY 1"""
 )
 def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text without table rows before and after a table."""
-    docs = texts(spark, sf_dir).where(~F.col("text").startswith("|") & ~F.col("text").contains("\n|"))
-    blocks = docs.select("doc_id", chunking.split_blocks(F.concat("text", F.lit("\n| a | b |\n| 1 | 2 |\n"), "text")).alias("b"))
+    """Each text before and after a table."""
+    blocks = texts(spark, sf_dir).where("text IS NOT NULL").select("doc_id", chunking.split_blocks(F.concat("text", F.lit("\n| a | b |\n| 1 | 2 |\n"), "text")).alias("b"))
     return blocks.select("doc_id", F.size("b").alias("n_blocks"), F.array_join("b.kind", ",").alias("kinds"), t.content_key(F.array_join("b.body", "\x01")).alias("bodies_sha256"))
 
 
 @query(
-    """SELECT doc_id, sha256('fine print: ' || doc_id || ' 2 km HIJ') AS text_sha256 FROM documents WHERE text IS NOT NULL"""
+    f"""WITH documents AS (SELECT doc_id, 'fine print: ' || doc_id || ' 2 km HIJ' || chr(10) || text AS text FROM documents WHERE text IS NOT NULL), {SQL_CLEAN.strip()}
+    SELECT doc_id, sha256(text) AS text_sha256 FROM norm"""
 )
 def nfkc_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line of ligatures, wide and circled characters about each document, through the whole cleaning, NFKC included."""
-    docs = texts(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.concat(F.lit("ﬁne print： "), F.col("doc_id").cast("string"), F.lit(" ② ㎞ ＨＩＪ")).alias("text"))
+    """Whole texts behind a line of ligatures, wide and circled characters, through the whole cleaning, NFKC included."""
+    line = F.concat(F.lit("ﬁne print： "), F.col("doc_id").cast("string"), F.lit(" ② ㎞ ＨＩＪ\n"))
+    docs = texts(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.concat(line, "text").alias("text"))
     return t.normalise_documents(docs).select("doc_id", t.content_key(F.col("text")).alias("text_sha256"))
 
 
