@@ -1,7 +1,9 @@
 """Decontamination, SentencePiece, quotation linking, the pipeline, and the guard around them."""
 
+import itertools
 import random
 import re
+import time
 
 import duckdb
 import public_tokenizers
@@ -302,3 +304,19 @@ def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_ends_of_many_units(spark):
+    for n in (0, 1, 127, 128, 129, 1000):
+        words = [f"u{i % 37}" for i in range(n)]
+        got = spark.createDataFrame([(words,)], "u array<string>").select(quote_links.unit_ends(F.col("u")).alias("e")).first().e
+        assert got == list(itertools.accumulate((len(w) + 1 for w in words), initial=-1))[1:]
+
+
+def test_a_message_of_forty_thousand_sentences(spark):
+    long = " ".join(f"Point {i} of the list is settled." for i in range(40_000))
+    rows = [(1, 1, "user", long), (1, 2, "assistant", "> Point 39998 of the list is settled. Point 39999 of the list is settled.\nGood."), (1, 3, "user", "> Point 7 of the list is settled.\n> > not said\nWhy?")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.perf_counter()
+    got = {r.turn: (r.reply_to, r.n_quotes, r.n_linked) for r in quote_links.replies(messages).collect()}
+    assert got == {1: (None, 0, 0), 2: (1, 1, 1), 3: (1, 2, 1)} and time.perf_counter() - began < 40

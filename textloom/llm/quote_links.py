@@ -14,7 +14,7 @@ answer, else to the turn before it. Conversations are then written without quote
 message after the one it replies to: ordered by that turn, then by its own.
 
 Scale: parsing is one narrow pass of higher-order functions, linear in the lines; joins carry
-hashes only, and just conversations that hold quotes reach them. A sentence said and quoted
+hashes only, and just conversations that hold quotes reach them; a table without any quote skips them. A sentence said and quoted
 over and over is one passage, so its links grow with its turns and not with their square.
 Ranks in reply order and the as-of union are made in spans of SPAN turns and put together
 by counts per span, so a conversation of any length is ordered as a whole and no task
@@ -40,6 +40,8 @@ SPAN = 4096
 MARKS = "^[ \\t]*(>[ \\t]*)*"
 #: Where a message's units part: at line ends and behind the marks that end sentences.
 UNIT_ENDS = "\\r?\\n|(?<=[.!?…][\"')\\]»”’]{0,3})\\s+|(?<=[。！？])"
+#: Units whose ends are summed up at once.
+END_BLOCK = 128
 #: Words that a key is made of; shorter passages are keyed whole.
 KEY_WORDS = 4
 
@@ -54,9 +56,22 @@ def units(text: Column) -> Column:
 
 
 def unit_ends(units: Column) -> Column:
-    """Where each unit ends in the units joined by spaces."""
-    add = lambda acc, u: F.struct((acc["at"] + F.length(u) + 1).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + F.length(u))).alias("ends"))
-    return F.aggregate(units, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")), add, lambda acc: acc["ends"])
+    """Where each unit ends in the units joined by spaces.
+
+    Sums run over blocks of END_BLOCK units and then inside each block, so a long array is not copied unit by unit."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda acc, n: acc + n)
+    append = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+    numbers = lambda sizes: F.sequence(F.lit(0), F.call_function("div", F.size(sizes) - 1, F.lit(END_BLOCK)).cast("int"))
+
+    def of(sizes: Column) -> Column:
+        parts = F.transform(numbers(sizes), lambda k: F.slice(sizes, k * END_BLOCK + 1, END_BLOCK))
+        return bound(parts, lambda p: bound(F.aggregate(F.transform(p, total), F.array(F.lit(0)), append), lambda before: inside(p, before)))
+
+    def inside(parts: Column, before: Column) -> Column:
+        ends = lambda part, k: F.slice(F.aggregate(part, F.array(F.get(before, k)), append), 2, END_BLOCK)
+        return F.transform(F.flatten(F.transform(parts, ends)), lambda end: end - 1)
+
+    return bound(F.transform(units, lambda u: F.length(u) + 1), lambda sizes: F.when(F.size(sizes) > 0, of(sizes)).otherwise(F.array().cast("array<int>")))
 
 
 def first_words(plain: Column) -> Column:
@@ -162,14 +177,11 @@ def linked_quotes(turns: DataFrame) -> DataFrame:
     begun = originals.select("conv_id", "source", F.explode(places(F.col("units"), F.col("ends"))).alias("p")).select("conv_id", "source", "p.at", "p.key")
     # places where a passage may stand, one row for each length that is asked for there
     asked = begun.join(wanted.select("conv_id", "key", "size").distinct(), ["conv_id", "key"]).groupBy("conv_id", "source").agg(F.collect_set(F.struct("at", "size")).alias("spans"))
-    spoken = (
-        originals.select("conv_id", "source", F.array_join("units", " ").alias("whole"), "ends")
-        .join(asked, ["conv_id", "source"])
-        .select("conv_id", "source", "whole", "ends", F.explode("spans").alias("x"))
-        .where(F.array_contains("ends", F.col("x.at") + F.col("x.size")))
-        .select("conv_id", "source", *hashes(F.substring(F.col("whole"), F.col("x.at") + 1, F.col("x.size"))))
-        .distinct()
-    )
+    # only spans that end with a unit fetch their message
+    last = originals.select("conv_id", "source", F.explode("ends").alias("end"))
+    whole = originals.select("conv_id", "source", F.array_join("units", " ").alias("whole"))
+    spans = asked.select("conv_id", "source", F.explode("spans").alias("x")).select("conv_id", "source", "x.at", "x.size", (F.col("x.at") + F.col("x.size")).alias("end")).join(last, ["conv_id", "source", "end"])
+    spoken = spans.join(whole, ["conv_id", "source"]).select("conv_id", "source", *hashes(F.substring(F.col("whole"), F.col("at") + 1, F.col("size")))).distinct()
     key = ["conv_id", "p1", "p2"]
     found = latest_before(wanted.select(*key, "turn").distinct(), spoken.select(*key, F.col("source").cast("bigint").alias("source")), key).where("source IS NOT NULL")
     return passages.join(found, [*key, "turn"], "left").select("conv_id", "turn", "n", "level", "source")
@@ -178,7 +190,11 @@ def linked_quotes(turns: DataFrame) -> DataFrame:
 def replies(messages: DataFrame) -> DataFrame:
     """One row per turn: conv_id, turn, role, reply_to, n_quotes, n_linked, text without quotes."""
     turns = stored(parsed(messages), "turns")
-    quotes = linked_quotes(turns)
+    quoting = turns.where(F.size("passages") > 0).select("conv_id").distinct()
+    if quoting.isEmpty():
+        quotes = turns.limit(0).select("conv_id", "turn", F.lit(0).alias("n"), F.lit(0).alias("level"), F.col("turn").cast("bigint").alias("source"))
+    else:
+        quotes = linked_quotes(turns)
     # among the linked passages the outermost level decides, then the latest source
     answers = quotes.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"), F.max(F.when(F.col("source").isNotNull(), F.struct((-F.col("level")).alias("outer"), "source"))).alias("best"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
