@@ -90,6 +90,12 @@ def judge_answers(answers: DataFrame, providers: list[Provider]) -> DataFrame:
     return answers.join(replies, "id", "left")
 
 
+def with_retrieval(answered: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Adds retrieval_hit_at_k to the answers of a run: whether the question's gold was among its first k, from the metrics per query."""
+    hit = metrics.select("query_id", (F.col("hit_at_k") > 0).alias("retrieval_hit_at_k"))
+    return answered.join(hit, "query_id", "left").withColumn("retrieval_hit_at_k", F.coalesce("retrieval_hit_at_k", F.lit(False)))
+
+
 def traces(queries: DataFrame, hits: DataFrame, answers: DataFrame) -> DataFrame:
     """One nested row per query: the answer and the context it was given."""
     context = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ticker", "form", "section", "score", "text"))).alias("retrieved_context"))

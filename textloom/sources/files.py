@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from textloom.operators.corpus import with_fetch_metadata
 from textloom.operators.extract import no_pdf, text_of
 from textloom.session import ship_package
+from textloom.sources.versions import Versions
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +53,21 @@ def extract_texts(files: DataFrame, pdf: Callable[[bytes], str] = no_pdf) -> Dat
     return files.withColumn("_x", run("content", "format", "path")).select(*files.columns, "_x.text", "_x.error")
 
 
+RAW = "doc_id string, format string, sha256 string, content binary"
+
+
+def save_documents(fetched: DataFrame, store: Versions, path_col: str = "local_path") -> DataFrame:
+    """Keeps fetched bytes and returns their manifest: the other columns, format, sha256 and retrieved_at.
+
+    fetched: (content, path_col, further metadata). The bytes are rows of the versioned table `raw`, in one step; rows
+    without content are left out. A content that is there already under that doc_id is not written again."""
+    name = F.element_at(F.split(path_col, "[/\\\\]"), -1)
+    described = with_fetch_metadata(fetched.where("content IS NOT NULL"), "content", path_col).withColumn("doc_id", F.regexp_replace(name, "\\.[^.]*$", ""))
+    known = store.read("raw", RAW).select("doc_id", "sha256")
+    store.append("raw", described.select("doc_id", "format", "sha256", F.col("content").cast("binary").alias("content")).dropDuplicates(["doc_id", "sha256"]).join(known, ["doc_id", "sha256"], "left_anti").select("doc_id", "format", "sha256", "content"))
+    return described.drop("content")
+
+
 def save_artifacts(tables: dict[str, DataFrame], path: str) -> None:
     """Writes index tables (chunks with their pos, vectors, postings, terms, corpus) under one folder."""
     for name, df in tables.items():
