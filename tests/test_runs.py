@@ -73,3 +73,14 @@ def test_reports_over_metrics(spark):
     assert {r.k: (r.questions, r.precision_attainment) for r in reports.tier_report(per_query).collect()} == {1: (1, 1.0), 5: (2, 1.0)}
     models = spark.createDataFrame([("m", 8, 1.0, 1.0, 1.0, 1.0, 2.0, 3.0, "more")], "label string, dim int, mrr double, mean_recall_at_k double, mean_precision_at_k double, precision_attainment double, embed_minutes double, query_ms_per_question double, other string")
     assert reports.embedding_report(models).columns == ["label", "dim", "mrr", "mean_recall_at_k", "mean_precision_at_k", "precision_attainment", "embed_minutes", "query_ms_per_question"]
+
+
+def test_answer_and_search_reports(spark):
+    rows = [("a", False, 1.0, True, "CORRECT"), ("b", False, 0.5, False, "UNPARSED"), ("c", True, 0.0, False, None)]
+    scored = spark.createDataFrame(rows, "id string, refused boolean, key_fact_recall double, lexical_correct boolean, judge string")
+    out = reports.answer_report(scored).first()
+    assert (out.questions, out.answered, out.lexical_accuracy, out.judge_correct, out.judge_unparsed, out.judged, out.correct_share) == (3, 2, 0.5, 1, 1, 2, 0.5)
+    assert "judged" not in reports.answer_report(scored.drop("judge")).columns
+    found = spark.createDataFrame([(1, 2, 0.5, "x", "s", "second\nline"), (1, 1, 0.75, "y", "t", "first"), (2, 1, 0.0, "x", "s", "z" * 200)], "query_id int, rank int, score double, ticker string, section string, text string")
+    lines = {r.query_id: r.report.split("\n") for r in reports.smoke_report(found, ["ticker", "section"]).collect()}
+    assert lines[1] == ["1. [0.750] y / t: first", "2. [0.500] x / s: second line"] and lines[2] == ["1. [0.000] x / s: " + "z" * 140]

@@ -57,10 +57,12 @@ class ChunkStore:
         same = known.join(keyed.select("doc_id", "key"), ["doc_id", "key"], "left_semi").select("doc_id", "key", "run", "error")
         documents = self.versions.write("documents", same.unionByName(changed.select("doc_id", "key", F.lit(run).alias("run"), "error")))
         self.versions.commit({"chunks": [*segments.get("chunks", []), chunks], "documents": [documents]})
+        fresh, failed = F.col("run") == run, F.col("error").isNotNull()
         now = self.documents()
-        gone = known.join(now, "doc_id", "left_anti").agg(F.count("*").alias("removed"))
-        fresh = F.col("run") == run
-        return now.agg(F.lit(run).alias("run"), F.count_if(~fresh).alias("unchanged"), F.count_if(fresh).alias("written"), F.count_if(fresh & F.col("error").isNotNull()).alias("failed")).crossJoin(gone)
+        state = F.when(~fresh, "unchanged").when(failed, "failed").otherwise("written").alias("state")
+        states = now.select(state).unionByName(known.join(now, "doc_id", "left_anti").select(F.lit("removed").alias("state")))
+        count = lambda *names: F.count_if(F.col("state").isin(*names))
+        return states.agg(F.lit(run).alias("run"), count("unchanged").alias("unchanged"), count("written", "failed").alias("written"), count("failed").alias("failed"), count("removed").alias("removed"))
 
     def compact(self, parts: int = 1) -> None:
         """Rewrites the chunks without retired ones; readers keep what they have opened until forget() of the versions."""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from textloom.functions.text import ratio
-from textloom.operators.answers import verdict_report
+from textloom.functions.text import ratio, snippet
+from textloom.operators.answers import VERDICTS, answer_summary, summary_columns, verdict_columns, verdict_report
 from textloom.operators.evaluate import mode_summary
 
 
@@ -41,6 +41,23 @@ def accuracy_report(scored: DataFrame) -> DataFrame | str:
     return verdict_report(scored)
 
 
+def answer_report(scored: DataFrame, verdict_col: str = "judge") -> DataFrame:
+    """One row: the summary of scored answers beside their verdicts, each counted, and the shares of the good ones."""
+    if verdict_col not in scored.columns:
+        return answer_summary(scored)
+    counts = [F.count_if(F.col(verdict_col) == v).alias(f"judge_{v.lower()}") for v in (*VERDICTS, "UNPARSED")]
+    return scored.agg(*summary_columns(), *counts, *verdict_columns(verdict_col))
+
+
+def smoke_report(found: DataFrame, label: list[str], text_col: str = "text") -> DataFrame:
+    """(query_id, report): what each query found, a line a hit with rank, score, where it is from and how it begins.
+
+    found: hits with their documents' columns, a few for each query; a query without hits has no row."""
+    line = F.format_string("%d. [%.3f] %s: %s", "rank", "score", F.concat_ws(" / ", *(F.col(c).cast("string") for c in label)), snippet(F.col(text_col)))
+    lines = F.sort_array(F.collect_list(F.struct("rank", line.alias("line"))))
+    return found.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("report"))
+
+
 def latency_report(stages: DataFrame) -> DataFrame:
     """The stages that were timed."""
     return stages.where(F.col("p50_ms").isNotNull())

@@ -609,6 +609,24 @@ def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(answers.answer_summary(answers.score_answers(question_answers(spark, sf_dir))))
 
 
+@query(
+    f"""WITH {SQL_QA.strip()}, v AS (SELECT conv_id, turn, upper(text) AS r FROM conversations WHERE role = 'assistant'),
+    j AS (SELECT sc.*, CASE WHEN refused THEN NULL WHEN contains(r, 'CORRECT') THEN 'CORRECT' WHEN contains(r, 'PARTIAL') OR turn % 3 = 0 THEN 'PARTIAL' WHEN contains(r, 'WRONG') OR turn % 3 = 1 THEN 'WRONG' WHEN contains(r, 'REFUSED') THEN 'REFUSED' ELSE 'UNPARSED' END AS judge FROM sc JOIN v USING (conv_id, turn))
+    SELECT count(*)::BIGINT AS questions, count(*) FILTER (refused)::BIGINT AS refused, count(*) FILTER (NOT refused)::BIGINT AS answered,
+    round(coalesce(avg(recall) FILTER (NOT refused), 0), 6) AS mean_key_fact_recall, round(coalesce(avg((recall >= 0.6)::INTEGER) FILTER (NOT refused), 0), 6) AS lexical_accuracy,
+    count(*) FILTER (judge = 'CORRECT')::BIGINT AS judge_correct, count(*) FILTER (judge = 'PARTIAL')::BIGINT AS judge_partial, count(*) FILTER (judge = 'WRONG')::BIGINT AS judge_wrong,
+    count(*) FILTER (judge = 'REFUSED')::BIGINT AS judge_refused, count(*) FILTER (judge = 'UNPARSED')::BIGINT AS judge_unparsed, count(judge)::BIGINT AS judged,
+    round(coalesce(count(*) FILTER (judge = 'CORRECT') / nullif(count(judge), 0), 0), 6) AS correct_share, round(coalesce(count(*) FILTER (judge IN ('CORRECT', 'PARTIAL')) / nullif(count(judge), 0), 0), 6) AS at_least_partial_share FROM j"""
+)
+def answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored answers beside the verdicts on them; a judge stands in who adds a word by the turn's number."""
+    scored = answers.score_answers(question_answers(spark, sf_dir))
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
+    word = F.when(F.col("turn") % 3 == 0, " partial").when(F.col("turn") % 3 == 1, " wrong").otherwise("")
+    judged = scored.join(said, ["conv_id", "turn"]).withColumn("judge", F.when(~F.col("refused"), answers.parse_verdict(F.concat("text", word))))
+    return rounded(reports.answer_report(judged))
+
+
 SQL_CITED = """
 x AS (SELECT conv_id, turn, text || CASE turn % 5 WHEN 0 THEN ' [1] and [' || turn || ']' WHEN 1 THEN ' 【2†L1-L4】【9】' WHEN 2 THEN ' I CANNOT answer this from the provided documents.' WHEN 3 THEN ' [12345678901234567890123]' ELSE '' END AS answer FROM conversations),
 y AS (SELECT conv_id, turn, contains(lower(answer), 'i cannot answer this from the provided documents.') AS refused,
@@ -757,6 +775,16 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.latency_summary(table(spark, sf_dir, "events"), "event_type"))
 
 
+@query(
+    f"""WITH {SQL_BM25.strip()} SELECT item_id AS query_id, string_agg(rank || '. [' || printf('%.3f', round(score, 3)) || '] ' || source || ' / ' || lang || ': ' || translate(left(d.text, 140), chr(10), ' '), chr(10) ORDER BY rank) AS report
+    FROM sparse JOIN documents d USING (doc_id) WHERE rank <= 3 GROUP BY 1"""
+)
+def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three documents of every benchmark item, as a report to read."""
+    found = retrieval(spark, sf_dir).search(questions(spark, sf_dir), 3, "bm25").withColumn("score", F.round("score", 3))
+    return reports.smoke_report(found, ["source", "lang"])
+
+
 @query("SELECT conv_id, turn, translate(left(text, 140), chr(10), ' ') AS snippet FROM conversations")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.snippet(F.col("text")).alias("snippet"))
