@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,46 @@ def test_no_task_sorts_a_whole_group(spark):
     wanted = sorted(r.value for r in rows.collect())
     assert {r.place: r.value for r in found.collect()} == {p: wanted[p - 1] for p in (1, 9_999, 20_000)}
     assert "PARTITION BY [g]" not in found._jdf.queryExecution().toString() and evaluate.values_at(rows.limit(0), places, "g", "value").count() == 0
+
+
+def test_best_of_many_equal_one_sort():
+    draw = np.random.default_rng(5)
+    best, parts = search.Best(3, 7), []
+    for part in range(9):
+        scores, among = draw.integers(0, 4, (7, 11)).astype(float), draw.random((7, 11)) < 0.7
+        scores += draw.random((7, 11)) * 1e-11  # equal to nine places
+        scores[draw.random((7, 11)) < 0.05] = np.nan
+        names = np.arange(11) * 9 + part
+        best.add(scores, names, among)
+        parts += [(q, not np.isnan(scores[q, d]), -scores[q, d].round(9), names[d]) for q, d in zip(*np.nonzero(among), strict=True)]
+    wanted = [[x for x in sorted(parts, key=lambda x: (x[0], x[1], 0.0 if not x[1] else x[2], x[3])) if x[0] == q][:3] for q in range(7)]
+    assert list(zip(best.query, best.name, strict=True)) == [(q, name) for rows in wanted for q, _, _, name in rows]
+
+
+def test_passages_are_scored_without_a_row_for_every_query_and_document(spark):
+    docs = spark.createDataFrame([(i, f"the r{i % 50} s{i % 7} {'the ' * (i % 5)}") for i in range(1500)] + [(1500, None), (1501, "")], "doc_id long, text string").repartition(2).persist()
+    index = search.build_sparse_index(docs)
+    asked = [(i, f"the r{i % 60} s{i % 9} s{i % 9} t{i}") for i in range(1200)] + [(1200, None), (1201, "nothing here")]
+    terms = search.query_terms(spark.createDataFrame(asked, "query_id long, query string"), "query_id", "query")
+    best = search.bm25_best(index, terms, 4)
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
+    assert best.count() <= 4 * 1200 * best.rdd.getNumPartitions() < search.bm25_scores(index, terms).count()
+    key = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 8)) for r in search.top_k(df, 4).collect())
+    assert key(best) == key(search.bm25_scores(index, terms))
+
+
+def test_terms_are_counted_within_their_row(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "c", "b", "a"],), ([],), (["z"],)], "t array<string>")
+    assert [{x.term: x.tf for x in r.c} for r in df.select(search.term_counts(F.col("t")).alias("c")).collect()] == [{"a": 2, "b": 3, "c": 1}, {}, {"z": 1}]
+
+
+def test_modes_share_their_lists(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 4} w{i % 6}") for i in range(30)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, "w1 w2", [1.0, 0.5]), (2, "w5", [-1.0, 1.0])], "query_id long, query string, vector array<double>")
+    r = search.Retrieval(docs, vectors)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    wanted = {mode: key(r.hits(asked, 3, mode)) for mode in search.MODES}
+    searches, one = [], search.bm25_topk
+    monkeypatch.setattr(search, "bm25_topk", lambda *a, **kw: searches.append(1) or one(*a, **kw))
+    assert {mode: key(df) for mode, df in r.hits_by_mode(asked, 3).items()} == wanted and len(searches) == 1

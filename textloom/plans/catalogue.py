@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as t
 from textloom.operators import answers, chunk_store, chunking, corpus, embedding, evaluate, extract, pdf, quality, reports, search, sections
-from textloom.session import own_folder, spread
+from textloom.session import own_folder, spread, stored
 from textloom.sources import files, http
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,17 +92,20 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold an item word for word. The items are the stated query set.
 
     A document that holds an item holds its inner tokens, so candidates come from a join on
-    the longest of them, of ids and tokens alone; the texts of the candidates come after. Items of fewer
-    than three tokens have no inner one: each text is searched for all of them in one narrow pass."""
+    the longest of them, beside their texts where the items can be broadcast, else of ids and tokens alone before the texts.
+    Items of fewer than three tokens have no inner one: each text is searched for all of them in one narrow pass."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), t.search_tokens(F.col("text")).alias("tokens"))
     inner = F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 2, F.lit(0)))
     keyed = items.select("query_id", "item", F.element_at(F.array_sort(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("token")))), 1)["token"].alias("token"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = docs.select("doc_id", F.explode(F.array_distinct(t.search_tokens(F.col("text")))).alias("token")).join(keyed.where("token IS NOT NULL"), "token")
-    found = held.select("doc_id", "query_id", "item").join(docs, "doc_id").where(F.contains("text", "item")).select("query_id", "doc_id").distinct()
+    broadcast = items.count() <= search.BROADCAST_ROWS
+    long = keyed.where("token IS NOT NULL")
+    held = docs.select("doc_id", *(["text"] if broadcast else []), F.explode(F.array_distinct(t.search_tokens(F.col("text")))).alias("token")).join(F.broadcast(long) if broadcast else long, "token")
+    beside = held if broadcast else held.select("doc_id", "query_id", "item").join(docs, "doc_id")
+    found = beside.where(F.contains("text", "item")).select("query_id", "doc_id").distinct()
     few = keyed.where("token IS NULL AND item IS NOT NULL").agg(F.collect_list(F.struct("query_id", "item")).alias("few")).select("few").scalar()
     short = docs.withColumn("few", few).select("doc_id", F.explode(F.filter("few", lambda x: F.contains(F.col("text"), x["item"]))).alias("x")).select("x.query_id", "doc_id")
-    return found.unionByName(short)
+    return stored(found.unionByName(short), "gold")
 
 
 #: Indexes built so far, by application, folder and files; they are tables in the shared folder until the driver ends.
@@ -166,7 +169,8 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mode_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, asked = retrieval(spark, sf_dir), questions(spark, sf_dir)
-    return search.overlap(r.hits(asked, 3, "dense"), r.hits(asked, 3, "hybrid"), 3)
+    hits = r.hits_by_mode(asked, 3)
+    return search.overlap(hits["dense"], hits["hybrid"], 3)
 
 
 @query(
@@ -185,7 +189,7 @@ def bm25_known_item_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, asked = retrieval(spark, sf_dir), questions(spark, sf_dir)
-    hits = {m: r.hits(asked, evaluate.MRR_DEPTH, m) for m in search.MODES}
+    hits = r.hits_by_mode(asked, evaluate.MRR_DEPTH)
     return rounded(evaluate.mode_summary(evaluate.compare_modes(asked, hits, gold(spark, sf_dir)), ["mode"]))
 
 
@@ -249,7 +253,8 @@ def section_mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the section metrics by mode and k."""
     r, asked = retrieval(spark, sf_dir), section_questions(spark, sf_dir)
     sizes = evaluate.section_sizes(table(spark, sf_dir, "documents"), ["source", "lang"])
-    parts = [evaluate.section_metrics(asked, section_hits(spark, sf_dir, r.hits(asked, evaluate.MRR_DEPTH, m)), sizes, ["source", "lang"]).withColumn("mode", F.lit(m)) for m in search.MODES]
+    hits = r.hits_by_mode(asked, evaluate.MRR_DEPTH)
+    parts = [evaluate.section_metrics(asked, section_hits(spark, sf_dir, hits[m]), sizes, ["source", "lang"]).withColumn("mode", F.lit(m)) for m in search.MODES]
     return rounded(evaluate.mode_summary(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["mode", "k"]))
 
 
