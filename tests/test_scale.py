@@ -6,6 +6,7 @@ import sys
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,12 @@ def test_entry_works_where_a_library_of_the_optional_part_is_missing(monkeypatch
     monkeypatch.setattr(builtins, "__import__", refuse)
     names = importlib.reload(entry).queries()
     assert "bm25_topk" in names and not any(n.startswith("op") for n in names) and "pipeline" not in names
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    df = spark.range(0, 5000, 1, 1).select("id", F.concat(F.lit("ﬁ"), F.repeat(F.lit("x"), 10)).alias("text"))
+    assert df.select(t.nfkc(F.col("text")).alias("t")).distinct().first().t == "fi" + "x" * 10
+    sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) <= 1000

@@ -47,7 +47,9 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Gives the executors this package, once per application; Python functions then load anywhere."""
+    """Gives the executors this package, once per application; Python functions then load anywhere. Bounds Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
