@@ -122,6 +122,59 @@ def test_line_dedup_budget_grows_with_the_line(spark):
     assert {r.doc_id: r.dropped for r in out if r.dropped} == wanted
 
 
+@pytest.mark.parametrize("crowd", [0, 4])
+def test_crowded_keys_leave_out_no_pair(spark, monkeypatch, crowd):
+    rng = random.Random(crowd)
+    vocabulary = [f"{w}{i}" for i in range(8) for w in WORDS]
+    bases = [[rng.choice(vocabulary[:n]) for _ in range(n)] for n in (12, 23, 40, 89, 91)]
+    bases.append(["the"] * 30)
+
+    def edited(words):
+        words = list(words)
+        for _ in range(rng.choice([0, 1, len(words) // 10, len(words) // 10 + 1, len(words) // 10 + 2])):
+            at = rng.randrange(len(words))
+            kind = rng.randrange(5)
+            if kind == 4:
+                words[at], words[-1] = words[-1], words[at][:-1] + "x"
+            else:
+                words[at : at + (kind < 3)] = [] if kind == 1 else [rng.choice(vocabulary)]
+        return " ".join(words)
+
+    texts = ["\n".join(edited(rng.choice(bases)) for _ in range(3)) for _ in range(50)]
+    dropped = lambda: {r.doc_id: r.dropped for r in line_dedup.line_verdicts(docs(spark, texts)).collect() if r.dropped}
+    # every line paired with every other of its keys
+    monkeypatch.setattr(line_dedup, "CROWD", 1 << 40)
+    wanted = dropped()
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    assert wanted and dropped() == wanted
+
+
+def test_near_copies_that_their_head_leaves_are_not_all_paired(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"{rng.choice(WORDS)}{i}" for i in range(87)]
+
+    def edited(k):
+        words = list(base)
+        for at in rng.sample(range(87), k):
+            words[at] = f"new{rng.randrange(10**9)}"
+        return " ".join(words)
+
+    texts = [" ".join(base), *(edited(rng.choice([2, 9, 10])) for _ in range(240))]
+    paired = []
+    real = line_dedup.stored
+
+    def counted(df, name, **held):
+        out = real(df, name, **held)
+        if name == "line_rest" and "a" in df.columns:
+            paired.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    lost = {r.doc_id for r in line_dedup.line_verdicts(docs(spark, texts)).collect() if r.n_dropped}
+    assert lost == {i for i, t in enumerate(texts) if 0 < sum(a != b for a, b in zip(t.split(), base, strict=True)) <= 8}
+    assert len(paired) == 1 and paired[0] <= 10 * len(texts)
+
+
 def test_dedup_lines_rebuilds_texts(spark):
     rows = ["keep me here\nand me too\n\nlast", "and me too\nnew line\n", "and me too", "one\none\ntwo"]
     out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}

@@ -21,7 +21,12 @@ most, that grows in proportion to the line.
 Candidates are verified by Spark's banded, threshold-bounded edit distance; for words over
 strings in which each word of the pair is one character. Lines are compared with the
 earliest line of each key first; only what that does not settle is paired with the other
-lines of its keys, so a large group of near copies costs its size, not its square.
+lines of its keys. In keys of more than CROWD rows it is paired by what sets it apart from that
+earliest line, the head: words it has beyond the head's (p) and words it lacks (q), repeated
+ones counted. Lines within k word edits differ by at most k words either way, so two of them
+share at least max(p + q', p' + q) - k of these, and meet in the first ones by a common order; only
+pairs for which that is not positive, which are nearly the head's own words, are paired as they
+are. So a large group of near copies costs about its size, not its square.
 
 Scale: equal lines meet only as (hash, first place) partial aggregates, so a line that a
 third of all documents share is one row; keys are shuffled as two numbers in SLICES passes,
@@ -62,6 +67,8 @@ MAX_CODES = 1_000_000
 COUNTED = ("e", "n", "t", "a", "i", "o", "r")
 #: Buckets of word hashes whose counts two lines near by words must nearly share, and bits of a count.
 BUCKETS, COUNT_BITS = 60, 4
+#: Rows of a key up to which its lines are paired as they are.
+CROWD = 64
 #: What a key row is to its line, as bits: one of its segments, a probe, or both.
 SEGMENT, PROBE = 1, 2
 
@@ -204,6 +211,71 @@ def bucket_counts(words: Column) -> Column:
     return bound(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), of)
 
 
+def word_tokens(line: Column) -> Column:
+    """A hash for each word of a line and its number among equal words: the bag of words as a set."""
+    ordered = F.array_sort(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
+
+    def numbered(s: Column, starts: Column) -> Column:
+        run = lambda i, k: F.transform(F.slice(s, i + 1, F.coalesce(F.get(starts, k + 1), F.size(s)) - i), lambda x, j: F.xxhash64(x, j))
+        return F.flatten(F.transform(starts, run))
+
+    return bound(ordered, lambda s: bound(begins(s), lambda starts: numbered(s, starts)))
+
+
+def one_head_each(members: DataFrame) -> DataFrame:
+    """(head, lid), each once, from (head as struct of by and lid, lid): groups whose heads stand in an earlier head's group become one.
+
+    Near copies have a head for every edited segment; any line may be what the lines of a group are set apart from."""
+    members = stored(members, "line_groups")
+    heads = members.join(members.select(F.col("head.lid").alias("lid")).distinct(), "lid", "left_semi").groupBy("lid").agg(F.min("head").alias("to"))
+    up = stored(heads, "line_group_heads")
+    further = up.select(F.col("lid").alias("at"), F.col("to").alias("over"))
+    reached = up.join(further, F.col("to.lid") == F.col("at")).select(F.col("lid").alias("old"), F.col("over.lid").alias("shared_head"))
+    return members.join(reached, F.col("head.lid") == F.col("old")).select(F.col("shared_head").alias("head"), "lid").distinct()
+
+
+def crowd_pairs(members: DataFrame, facts: DataFrame, max_edits: int, words_an_edit: int) -> DataFrame:
+    """(lid, e_lid) of pairs that may be near in large groups, each once, the first being open and not earlier than the other.
+
+    members: (head, lid, open), each once; facts: as in later_lines()."""
+    tokens = stored(facts.join(members.select("lid").union(members.select("head")).distinct(), "lid", "left_semi").select("lid", word_tokens(F.col("line")).alias("t")), "line_tokens")
+    known = ("by", "w", "len")
+    apart = stored(
+        members.join(tokens, "lid")
+        .join(tokens.select(F.col("lid").alias("head"), F.col("t").alias("ht")), "head")
+        .select("head", "lid", "open", F.array_except("t", "ht").alias("plus"), F.array_except("ht", "t").alias("minus"))
+        .join(facts.select("lid", *known), "lid")
+        .withColumns({"p": F.size("plus"), "q": F.size("minus")}),
+        "line_apart",
+    )
+    # an edited character changes, joins or parts words: two at most on either side
+    k_chars = 2 * max_edits
+    own = word_budget(F.col("w"), words_an_edit)
+    most = word_budget(_div(F.col("w") * words_an_edit, words_an_edit - 1) + 1, words_an_edit)
+    k = word_budget(F.greatest("w", "e_w"), words_an_edit)
+    need = lambda k: F.greatest(F.col("p") + F.col("e_q"), F.col("e_p") + F.col("q")) - k
+    later = (F.col("lid") != F.col("e_lid")) & (F.col("e_by") <= F.col("by"))
+    facing = lambda side, on, *more: side.select(*on, *(F.col(c).alias(f"e_{c}") for c in ("lid", "p", "q", *known, *more)))
+
+    # one order for all lines of a head: words beyond the head's first, since fewer lines share one
+    longest = F.greatest(most, F.lit(k_chars))
+    ordered = F.concat(F.array_sort("plus"), F.array_sort(F.transform("minus", lambda x: F.bitwise_not(x))))
+    first = F.slice(ordered, 1, F.least(2 * longest, F.least("p", "q") + longest) + 1)
+    prefixes = stored(apart.select(*(c for c in apart.columns if c not in ("plus", "minus")), F.posexplode(first).alias("i", "token")), "line_prefixes")
+    by_chars, by_words = F.abs(F.col("len") - F.col("e_len")) <= max_edits, F.abs(F.col("w") - F.col("e_w")) <= k
+    within = lambda k: (need(k) >= 1) & (F.col("i") <= F.col("p") + F.col("q") - need(k)) & (F.col("e_i") <= F.col("e_p") + F.col("e_q") - need(k))
+    met = prefixes.where("open").join(facing(prefixes, ("head", "token"), "i"), ["head", "token"]).where(later & ((by_words & within(k)) | (by_chars & within(F.lit(k_chars)))))
+
+    # pairs that need share nothing, by the budget of their longer line: that of the open one, or a larger one of the other
+    close = apart.select("head", "lid", "open", "p", "q", *known, own.alias("own"), F.explode(F.sequence(own, F.greatest(own, most))).alias("k")).where(F.greatest("p", "q") <= F.greatest(F.col("k"), F.lit(k_chars)))
+    alike = later & ((by_words & (need(k) <= 0)) | (by_chars & (need(F.lit(k_chars)) <= 0)))
+    longer_own = close.where("open AND k = own").join(facing(close, ("head", "k")), ["head", "k"]).where(alike)
+    longer_other = close.where("open AND k > own").join(facing(close.where("k = own"), ("head", "k")), ["head", "k"]).where(alike)
+    both = [x.select("lid", "e_lid") for x in (met, longer_own, longer_other)]
+    return both[0].unionByName(both[1]).unionByName(both[2]).distinct()
+
+
 def later_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS, short_chars: int = SHORT_CHARS, words_an_edit: int = WORDS_AN_EDIT) -> DataFrame:
     """(lid) of the lines that are near a line with an earlier first place.
 
@@ -247,7 +319,7 @@ def later_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int =
 
     def near(pairs: DataFrame, name: str) -> DataFrame:
         """The later lines of the candidates that are near."""
-        found = stored(pairs.where(fits).select(F.least("lid", "e_lid").alias("a"), F.greatest("lid", "e_lid").alias("b")).distinct(), name)
+        found = stored(pairs.select(F.least("lid", "e_lid").alias("a"), F.greatest("lid", "e_lid").alias("b")).distinct(), name)
         of = lambda x: facts.select(F.col("lid").alias(x), F.col("first").alias(f"first_{x}"), F.col("line").alias(f"line_{x}"))
         least = F.least(F.length("line_a"), F.length("line_b"))
         edits = F.levenshtein("line_a", "line_b", max_edits)
@@ -257,17 +329,27 @@ def later_lines(lines: DataFrame, max_edits: int = MAX_EDITS, near_chars: int =
         return stored(found.join(of("a"), "a").join(of("b"), "b").where(alike).select(late.alias("lid")).distinct(), name)
 
     segments, probes = (placed.where(F.col("role").bitwiseAND(bit) != 0) for bit in (SEGMENT, PROBE))
-    heads = segments.groupBy("key").agg(F.min(F.struct("by", *(c for c in known if c != "by"))).alias("head"), F.count("*").alias("segments"))
+    is_segment = F.col("role").bitwiseAND(SEGMENT) != 0
+    heads = placed.groupBy("key").agg(F.min(F.when(is_segment, F.struct("by", *(c for c in known if c != "by")))).alias("head"), F.count_if(is_segment).alias("segments"), F.count("*").alias("rows")).where("segments > 0")
     first = heads.select("key", *(F.col(f"head.{c}").alias(f"e_{c}") for c in known))
-    settled = near(probes.join(first, "key"), "line_heads")
+    settled = near(probes.join(first, "key").where(fits), "line_heads")
     # what is left: pairs of which neither is the head of their key, so keys of two segments at least
-    crowded = heads.where("segments > 1").select("key")
-    open_ = lambda side: side.join(settled, "lid", "left_anti").join(crowded, "key", "left_semi")
+    crowded = stored(heads.where("segments > 1").select("key", F.struct("head.by", "head.lid").alias("head"), "rows"), "line_crowded")
+    open_ = lambda side: side.join(settled, "lid", "left_anti")
+    few, many = crowded.where(F.col("rows") <= CROWD).select("key"), crowded.where(F.col("rows") > CROWD).select("key", "head")
+    some = lambda side: side.join(few, "key", "left_semi")
     earlier = F.col("e_by") <= F.col("by")
-    rest = open_(probes).join(early(segments.join(crowded, "key", "left_semi")), "key").where(earlier)
+    rest = some(open_(probes)).join(early(some(segments)), "key").where(earlier & fits)
     # the other way round the open line is the segment
-    turned = open_(segments).join(early(probes.join(crowded, "key", "left_semi")), "key").where(earlier)
-    return settled.unionByName(near(rest.unionByName(turned), "line_rest")).distinct()
+    turned = some(open_(segments)).join(early(some(probes)), "key").where(earlier & fits)
+    pairs = rest.unionByName(turned).select("lid", "e_lid")
+    if not many.isEmpty():
+        members = stored(one_head_each(placed.select("key", "lid").join(many, "key").select("head", "lid").distinct()), "line_members")
+        told = members.join(settled.withColumn("settled", F.lit(True)), "lid", "left").select("head", "lid", F.col("settled").isNull().alias("open"))
+        crowd = crowd_pairs(stored(told, "line_members"), facts, max_edits, words_an_edit)
+        counted = facts.select(*known)
+        pairs = pairs.unionByName(crowd.join(counted, "lid").join(counted.select(*(F.col(c).alias(f"e_{c}") for c in known)), "e_lid").where(fits).select("lid", "e_lid"))
+    return settled.unionByName(near(pairs, "line_rest")).distinct()
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, near_chars: int = NEAR_CHARS, short_chars: int = SHORT_CHARS, words_an_edit: int = WORDS_AN_EDIT) -> DataFrame:
